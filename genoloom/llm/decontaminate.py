@@ -233,7 +233,10 @@ def n_hit(result: str = "overlap"):
     return F.aggregate(F.col(f"{result}.spans"), zero, step, lambda acc: acc["n"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, text_col: str = "text", **options) -> DataFrame:
-    """The documents that fewer than ``min_items`` items overlap; the columns stay as they are."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, text_col: str = "text", **options) -> DataFrame:
+    """The documents that fewer than ``min_items`` items overlap; the columns stay as they are.
+
+    One shared span of a window's length is a leak, so a single item is enough by default.
+    """
     found = find_overlaps(docs, benchmark, text_col=text_col, result="__hits", **options)
     return found.where(F.size("__hits.items") < min_items).select(*[F.col(f"`{c}`") for c in docs.columns])
