@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, order_minhash, quality, sharding, simhash
+from . import chat, decontaminate, lm, mixing, order_minhash, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    speaker = F.when(F.col("id") == 0, "user").otherwise(chat.ASSISTANT)
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), speaker.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    # in these tables each turn answers the one before it
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    linked = turns.unionByName(extra).withColumn("node", F.row_number().over(order).cast("long"))
+    linked = linked.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+    done = chat.format_trees(linked).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("learn", chat.read_loss(F.col("formatted"), F.col("loss")))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("learn").cast("long").alias("loss_chars"),
+        F.sha2("learn", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     part = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -67,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sharding": op5_sharding,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_order_minhash": op10_order_minhash,
