@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lm, mixing, order_minhash, quality, sharding, simhash
+from . import chat, decontaminate, lm, mixing, order_minhash, quality, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return captures.select(
+        F.col("capture_id").cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to_id").cast("long").alias("refers_to"),
+    )
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edited(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
 }
 ORACLES: dict[str, str] = {}
