@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions import genotype as G
 
 
+def _below(value: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are below a value, by halving."""
+    if not bounds:
+        return F.lit(0)
+    mid = len(bounds) // 2
+    return F.when(value > bounds[mid], mid + 1 + _below(value, bounds[mid + 1 :])).otherwise(_below(value, bounds[:mid]))
+
+
 def dense_index(records: DataFrame, order: str = "rec_idx", parts: int = 256) -> DataFrame:
     """Records with ``rec_no``, counted from 0 in their order, range by range of equal shares."""
     bounds = records.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"]
     bounds = sorted(set(bounds or []))
-    ranged = records.withColumn("__range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0))
+    ranged = records.withColumn("__range", _below(F.col(order), bounds))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``parts`` rows
     starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy("__range").orderBy(order)
@@ -80,19 +88,19 @@ def merge(primary: DataFrame, others: list[DataFrame]) -> DataFrame:
             raise ValueError(f"variants are out of order at {bad[0]['c']}:{bad[0]['p']}")
         keys = F.transform("info", lambda e: e["k"])
         new_info = F.filter("o_info", lambda e: ~F.array_contains(keys, e["k"]))
-        fresh = F.filter(F.sequence(F.lit(1), F.greatest(F.size("o_format_keys"), F.lit(1))), lambda i: (i <= F.size("o_format_keys")) & ~F.array_contains("format_keys", F.try_element_at("o_format_keys", i)))
+        fresh = F.array_except("o_format_keys", "format_keys")
         named = F.filter("filters", lambda f: ~f.isin("PASS", "."))
         o_named = F.filter("o_filters", lambda f: ~f.isin("PASS", "."))
         codes = F.array_union(named, o_named)
-        value = lambda s, i: F.coalesce(F.try_element_at(s, i), F.lit("."))
-        padded = lambda s: F.transform(F.sequence(F.lit(1), F.size("format_keys")), lambda i: value(s, i))
-        samples = F.when(F.size(fresh) > 0, F.zip_with("samples", "o_samples", lambda a, b: F.concat(padded(a), F.transform(fresh, lambda i: value(b, i))))).otherwise(F.col("samples"))
+        of = lambda s, k: F.coalesce(F.try_element_at(s, F.array_position("o_format_keys", k).cast("int")), F.lit("."))
+        missing = lambda s: F.array_repeat(F.lit("."), F.size("format_keys") - F.size(s))
+        samples = F.when(F.size(fresh) > 0, F.zip_with("samples", "o_samples", lambda a, b: F.concat(a, missing(a), F.transform(fresh, lambda k: of(b, k))))).otherwise(F.col("samples"))
         out = both.withColumns({
             "id": F.when(F.col("id") == ".", F.col("o_id")).otherwise(F.col("id")),
             "filters": F.when(F.size(codes) > 0, codes).otherwise(F.col("filters")),
             "info": F.concat("info", new_info),
             "samples": samples,
-            "format_keys": F.concat("format_keys", F.transform(fresh, lambda i: F.element_at("o_format_keys", i))),
+            "format_keys": F.concat("format_keys", fresh),
             "raw": F.lit(None).cast("string"),
         }).select(*out.columns)
     return out.orderBy("rec_no").drop("rec_no")

@@ -23,7 +23,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str
     rc, rs, re = right_on
     start, end = F.greatest(F.col(ls) - extend, F.lit(0)), F.col(le) + extend
     if how in ("left", "left_anti", "left_semi"):
-        left = left.withColumn("__row", F.monotonically_increasing_id())
+        left = left.withColumn("__rj_row", F.monotonically_increasing_id())
     a = left.withColumns({"__s": start, "__e": end}).withColumn("__bin", F.explode(bins(F.col("__s"), F.col("__e"), bin_size))).withColumn("__b0", F.floor(F.col("__s") / bin_size))
     b = right.withColumn("__rbin", F.explode(bins(F.col(rs), F.col(re), bin_size))).withColumn("__rb0", F.floor(F.col(rs) / bin_size))
     on = (F.col(lc) == F.col(rc)) & (F.col("__bin") == F.col("__rbin")) & (F.col("__s") < F.col(re)) & (F.col("__e") > F.col(rs)) & (F.greatest("__b0", "__rb0") == F.col("__bin"))
@@ -32,15 +32,15 @@ def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str
         return pairs
     if how in ("left_semi", "left_anti"):
         # every row is met again by its number, so rows that overlap many stay single
-        hit = pairs.select("__row").distinct()
-        return left.join(hit, "__row", how).drop("__row")
-    rest = pairs.select("__row", *[c for c in right.columns])
-    return left.join(rest, "__row", "left").drop("__row")
+        hit = pairs.select("__rj_row").distinct()
+        return left.join(hit, "__rj_row", how).drop("__rj_row")
+    rest = pairs.select("__rj_row", *[c for c in right.columns])
+    return left.join(rest, "__rj_row", "left").drop("__rj_row")
 
 
 def collapse_overlaps(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str], right_on: tuple[str, str, str], aggregates: dict[str, Column], bin_size: int = BIN, extend: int = 0) -> DataFrame:
     """Each left row once, with aggregates over the right rows that overlap it."""
-    keyed = left.withColumn("__row", F.monotonically_increasing_id())
+    keyed = left.withColumn("__rj_row", F.monotonically_increasing_id())
     pairs = overlap_join(keyed, right, left_on, right_on, "inner", bin_size, extend)
-    sums = pairs.groupBy("__row").agg(*[v.alias(k) for k, v in aggregates.items()])
-    return keyed.join(sums, "__row", "left").drop("__row")
+    sums = pairs.groupBy("__rj_row").agg(*[v.alias(k) for k, v in aggregates.items()])
+    return keyed.join(sums, "__rj_row", "left").drop("__rj_row")
