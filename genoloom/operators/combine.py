@@ -92,9 +92,13 @@ def merge(primary: DataFrame, others: list[DataFrame]) -> DataFrame:
         named = F.filter("filters", lambda f: ~f.isin("PASS", "."))
         o_named = F.filter("o_filters", lambda f: ~f.isin("PASS", "."))
         codes = F.array_union(named, o_named)
-        of = lambda s, k: F.coalesce(F.try_element_at(s, F.array_position("o_format_keys", k).cast("int")), F.lit("."))
-        missing = lambda s: F.array_repeat(F.lit("."), F.size("format_keys") - F.size(s))
-        samples = F.when(F.size(fresh) > 0, F.zip_with("samples", "o_samples", lambda a, b: F.concat(a, missing(a), F.transform(fresh, lambda k: of(b, k))))).otherwise(F.col("samples"))
+        # a sample's values may be trimmed at their end: they are filled up to its keys
+        full = lambda s, keys: F.concat(s, F.array_repeat(F.lit("."), F.size(keys) - F.size(s)))
+        n_new = F.size(fresh)
+        at = F.transform(fresh, lambda k: F.array_position("o_format_keys", k).cast("int"))
+        theirs = F.transform("o_samples", lambda s: full(s, F.col("o_format_keys")))
+        both = both.withColumns({"__at": at, "__own": F.transform("samples", lambda s: full(s, F.col("format_keys"))), "__theirs": theirs})
+        samples = F.when(n_new > 0, F.zip_with("__own", "__theirs", lambda a, b: F.concat(a, F.transform("__at", lambda i: F.element_at(b, i))))).otherwise(F.col("samples"))
         out = both.withColumns({
             "id": F.when(F.col("id") == ".", F.col("o_id")).otherwise(F.col("id")),
             "filters": F.when(F.size(codes) > 0, codes).otherwise(F.col("filters")),
