@@ -111,4 +111,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""
+with d as (select row_number() over () as rid, doc_id, {_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+wins as (select distinct item, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') as win, least(8, len(w)) as k from (select item, w, unnest(range(1, len(w) - least(8, len(w)) + 2)) as i from b where len(w) > 0)),
+sizes as (select distinct k from wins),
+grams as (select rid, k, i, array_to_string(w[i : i + k - 1], ' ') as win from (select rid, w, k, unnest(range(1, cast(len(w) - k + 2 as bigint))) as i from d, sizes where len(w) >= k)),
+hits as (select g.rid, g.i, g.k, v.item from grams g join wins v on g.k = v.k and g.win = v.win),
+words as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + k)) as p from hits) group by rid),
+items as (select rid, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as names from hits group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join words using (rid) left join items using (rid)""",
+    "op6_chat_formatting": r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', '')) as body,
+  length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '[', ''), '|', '')) as head from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+cast(3 + sum(body + head + 8) as bigint) as formatted_chars from e group by conv_id""",
+    "op9_warc": """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+m as (select *, max(page_id) over (partition by payload_digest) as top from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+case when payload_bytes >= 1000 and page_id <> top then top end as refers_to from m""",
+}
