@@ -4,31 +4,32 @@ Groups of equal texts are indivisible and are dealt to ``shards`` shards of near
 partial partition is a tuple of ``shards`` sums; differencing takes the two with the largest
 spread and joins them in opposite order, largest sums to smallest, until one is left.
 
-Groups are hashed into bins of about ``BIN`` groups. Each bin is differenced by one task, and what
-is left of a bin is again a partial partition: the same rule then joins the bins' tuples, at most
-``BIN`` at a time in one task, level by level until one is left. So a task holds at most about
-``BIN`` tuples at any size of the corpus, and the driver holds none.
+What is differenced are at most 2 x ``ITEMS`` items at any size of the corpus: every group of at
+least an ``ITEMS``-th of all bytes is an item of its own, and all smaller groups are hashed into
+``ITEMS`` bins, each an item. So a group of a third of all bytes is balanced against the rest, and
+the bins, each a small part of a shard, leave a spread of a few bytes. Sums of groups and items are
+made by grouped aggregation; the items, and where they go, are small enough for the driver and for
+a broadcast, so no document is shuffled to learn its shard.
 
 Size is the text's UTF-8 bytes plus 1; null texts go with empty ones, of size 1. Groups are
 told apart by hash, CRC-32 and length; repeated rows stay together. One group larger than a shard's
 share takes a shard of its own. Slots count from 0 in each shard without gaps, in the order of a
-hash, the id and the CRC. An empty table gives an empty table. Other columns pass untouched.
+hash, the id and the CRC. An empty table gives an empty table. Other columns pass untouched, but
+those named like the results, which are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialise
 
 SHARDS = 8
-BIN = 20_000
+ITEMS = 1 << 14
 SLOT_ROWS = 50_000
 
 
@@ -70,48 +71,32 @@ def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array(live[last], np.int64)
 
 
-def _bins(groups: DataFrame, shards: int) -> DataFrame:
-    """(bin, key..., position, sums): groups of a bin with where they go in the bin's tuple."""
+def assign(groups: DataFrame, shards: int = SHARDS, items: int = ITEMS) -> tuple[DataFrame, DataFrame]:
+    """Shards of groups (h, crc, len, bytes): (h, crc, len, shard) of the large, (bin, shard) of the rest.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "h", "crc", "len"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        sums = np.zeros((len(pdf), shards), np.int64)
-        sums[:, 0] = pdf["bytes"]
-        place, total = difference(sums)
-        pdf["position"] = place[:, 0].astype(np.int32)
-        pdf["sums"] = [total.tolist()] + [None] * (len(pdf) - 1)
-        return pdf[["bin", "h", "crc", "len", "position", "sums"]]
-
-    return groups.groupBy("bin").applyInPandas(one, "bin bigint, h bigint, crc bigint, len bigint, position int, sums array<bigint>")
-
-
-def _join_level(tuples: DataFrame, shards: int) -> DataFrame:
-    """(up, bin, places, sums): bins with where each of their sums goes in the upper tuple."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin").reset_index(drop=True)
-        place, total = difference(np.array(pdf["sums"].tolist(), np.int64))
-        return pd.DataFrame({"up": pdf["up"], "bin": pdf["bin"], "places": place.astype(np.int32).tolist(), "sums": [total.tolist()] + [None] * (len(pdf) - 1)})
+    Both tables have at most ``items`` rows.
+    """
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    large = F.col("bytes") * items >= total
+    big = groups.where(large).select("h", "crc", "len", "bytes").orderBy("h", "crc", "len").toArrow()
+    small = groups.where(~large).groupBy(bin_of(items).alias("bin")).agg(F.sum("bytes").alias("bytes")).orderBy("bin").toArrow()
+    sums = np.zeros((big.num_rows + small.num_rows, shards), np.int64)
+    sums[:, 0] = np.concatenate([big["bytes"].to_numpy(), small["bytes"].to_numpy()])
+    place = difference(sums)[0][:, 0].astype(np.int32) if len(sums) else np.zeros(0, np.int32)
+    spark = groups.sparkSession
+    import pyarrow as pa
 
-    return tuples.groupBy("up").applyInPandas(one, "up bigint, bin bigint, places array<int>, sums array<bigint>")
+    of_big = pa.table({"h": big["h"], "crc": big["crc"], "len": big["len"], "shard": place[: big.num_rows]})
+    of_small = pa.table({"bin": small["bin"], "shard": place[big.num_rows :]})
+    return spark.createDataFrame(of_big), spark.createDataFrame(of_small)
 
 
-def assign(groups: DataFrame, shards: int = SHARDS, bin_size: int = BIN) -> DataFrame:
-    """(h, crc, len, shard) of groups (h, crc, len, bytes)."""
-    n = groups.count()
-    bins = max(1, -(-n // bin_size))
-    low = materialise(_bins(groups.withColumn("bin", F.pmod(F.xxhash64("h", "crc", "len"), F.lit(bins)).cast("long")), shards), "bins")
-    tuples, at = low.where("sums is not null").select("bin", "sums"), low.select("bin", "h", "crc", "len", "position")
-    while True:
-        ups = -(-bins // bin_size)
-        level = materialise(_join_level(tuples.withColumn("up", F.pmod("bin", F.lit(ups))), shards), "level")
-        at = at.join(level.select("bin", "up", "places"), "bin").select(F.col("up").alias("bin"), "h", "crc", "len", F.get("places", "position").alias("position"))
-        if ups <= 1:
-            return at.select("h", "crc", "len", F.col("position").alias("shard"))
-        tuples, bins = level.where("sums is not null").select(F.col("up").alias("bin"), "sums"), ups
+def bin_of(items: int):
+    """The bin of a group among the small ones."""
+    return F.pmod(F.xxhash64("h", "crc", "len"), F.lit(items)).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bin_size: int = BIN, prefix: str = "") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", items: int = ITEMS, prefix: str = "") -> DataFrame:
     """The documents with size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.withColumns({"__h": F.xxhash64(text), "__crc": F.crc32(text).cast("long"), "__len": F.octet_length(text).cast("long")})
@@ -119,8 +104,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     light = keyed.select(F.col("__h").alias("h"), F.col("__crc").alias("crc"), F.col("__len").alias("len"), size.alias("bytes"))
     groups = materialise(light.groupBy("h", "crc", "len").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")), "groups")
     rows = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
-    where = assign(groups.select("h", "crc", "len", "bytes"), shards, bin_size).select(F.col("h").alias("__gh"), F.col("crc").alias("__gc"), F.col("len").alias("__gl"), F.col("shard").alias("__shard"))
-    placed = keyed.join(where, (F.col("__h") == F.col("__gh")) & (F.col("__crc") == F.col("__gc")) & (F.col("__len") == F.col("__gl"))).drop("__gh", "__gc", "__gl")
+    of_big, of_small = assign(groups, shards, items)
+    own = of_big.select(F.col("h").alias("__gh"), F.col("crc").alias("__gc"), F.col("len").alias("__gl"), F.col("shard").alias("__own"))
+    binned = of_small.select(F.col("bin").alias("__gb"), F.col("shard").alias("__binned"))
+    bin_ = F.pmod(F.xxhash64("__h", "__crc", "__len"), F.lit(items)).cast("int")
+    placed = keyed.join(F.broadcast(own), (F.col("__h") == F.col("__gh")) & (F.col("__crc") == F.col("__gc")) & (F.col("__len") == F.col("__gl")), "left").withColumn("__bin", bin_)
+    placed = placed.join(F.broadcast(binned), F.col("__bin") == F.col("__gb"), "left").withColumn("__shard", F.coalesce("__own", "__binned")).drop("__gh", "__gc", "__gl", "__gb", "__bin", "__own", "__binned")
     # slots: rows are dealt by a hash into parts of a shard, numbered within the part after the rows of the parts before
     parts = max(1, -(-rows // (SLOT_ROWS * shards)))
     dealt = placed.withColumn("__part", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(17)), F.lit(parts)).cast("int"))

@@ -1,0 +1,130 @@
+"""The quality classifier, the language model and the secret scan."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from genoloom.llm import lm, quality, secret_scan
+
+
+def clean(rng, n):
+    return " ".join(rng.choice(["the", "hand", "of", "sun", "tree", "and", "river"]) for _ in range(n))
+
+
+def junk(rng, n):
+    return " ".join(rng.choice(["X$$$", "q%%%", "THE!!", "w|w", "9&&&"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(4)
+    rows = [(i, clean(rng, rng.randint(1, 80)) if i % 4 else junk(rng, rng.randint(3, 80)), int(i % 4 > 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(None, 1, 0), (1, None, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    return docs, labels, {i: q for i, _, q in rows}
+
+
+def test_quality_on_rows_held_out(spark, labelled):
+    docs, labels, truth = labelled
+    model = quality.fit(docs, labels)
+    more = docs.withColumn("score", F.lit("mine")).unionByName(spark.createDataFrame([(-1, None, "m"), (-2, "", "m"), (-3, "the " * 50_000, "m")], "doc_id long, text string, score string"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(more, model).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert held and all((got[i] >= 0.3) == truth[i] for i in held)
+    assert 0 <= got[-1] == got[-2] <= 1 and got[-3] > 0.5
+    kept = quality.keep_good(docs.withColumn("score", F.lit("mine")), model)
+    assert kept.columns == ["doc_id", "text", "score"] and kept.where("score = 'mine'").count() == sum(truth.values())
+
+
+def test_quality_learns_only_what_it_may(spark, labelled):
+    docs, labels, _ = labelled
+    wrong = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = quality.fit(docs, labels), quality.fit(docs.repartition(7), wrong)
+    assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
+
+
+def test_quality_without_labels(spark, labelled):
+    docs, labels, _ = labelled
+    for rows, want in ((labels.limit(0), 0.5), (labels.where("quality = 1"), 1.0)):
+        scores = [r["score"] for r in quality.score(docs.limit(3), quality.fit(docs, rows)).collect()]
+        assert all(abs(s - want) < 1e-3 for s in scores)
+
+
+def test_scoring_equals_the_sum_of_features():
+    texts = pa.array(["The Sun the sun", "", None, "é " * 9, "ab"])
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=2 * quality.BUCKETS), 0.2)
+    want = [1 / (1 + math.exp(-(float((model.weight[i].astype(float) * p.astype(float)).sum()) + model.bias))) for i, p in quality.features(texts)]
+    assert np.allclose(model.scores(texts), want, atol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        words = ["ja", "und", "der", "weg"] if i % 2 else ["yes", "and", "the", "way"]
+        rows.append((i, " ".join(rng.choice(words) if rng.random() < 0.9 else f"r{rng.randint(0, 400)}" for _ in range(rng.randint(0, 60)))))
+    rows += [(1000, None), (1001, ""), (1002, "A\tÄ\nA"), (1003, "new " * 4000)]
+    return rows
+
+
+def test_lm_equals_counts_and_beats_them(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 64)  # most words then come from the join
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    train = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    got = {r["doc_id"]: r for r in lm.score(docs, train).collect()}
+    tokens = {i: [*"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split(), None] for i, t in corpus}
+    c = Counter(t for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for t in ts)
+    n, v = sum(c.values()), len(c)
+    for i, ts in tokens.items():
+        want = sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts)
+        assert math.isclose(got[i]["base_score"], want, rel_tol=1e-9)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(ts), sum(c[t] > 0 for t in ts), n)
+    held = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 == 1]
+    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
+
+
+def test_lm_probabilities_sum_to_one():
+    model = lm.LogBilinear(np.full(lm._CLASSES, 1 / lm._CLASSES))
+    one, two, z = model.tables()
+    for a, b in ((0, 5), (lm._START, lm._START), (7, 1087)):
+        assert math.isclose(np.exp(one[a] + two[b] - z[a, b]).sum(), 1, rel_tol=1e-4)
+
+
+def test_lm_empty(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert lm.score(none, none).count() == 0
+    one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    row = lm.score(one, none).first()
+    assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (3, 0, 0) and row["score"] < 0
+
+
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def test_secret_scan(spark):
+    rng = random.Random(8)
+    rows = [(i, clean(rng, 60), "docs/readme.md") for i in range(40)]
+    rows += [(100, f'the hand token = "{KEY}" of sun', "src/a"), (101, f"commit {KEY} of the tree", "tests/a"), (102, "riverhandandthesuntree river", "src/a"), (103, f'token = "{KEY}" {KEY.upper()} token = "{KEY}"', None), (104, None, "x"), (105, "", "x"), (106, "z" * 300_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    found = secret_scan.scan(docs, path_col="score").collect()
+    text = {i: t for i, t, _ in rows}
+    assert all(text[r["doc_id"]][r["start"] : r["start"] + len(r["candidate"])] == r["candidate"] for r in found)
+    verdict = {(r["doc_id"], r["nth"]): r["is_secret"] for r in found}
+    assert verdict[100, 0] and not verdict[102, 0] and not verdict[106, 0] and not verdict[101, 0]
+    assert [k for k in verdict if k[0] == 103] == [(103, 0), (103, 1), (103, 2)] and verdict[103, 0] and verdict[103, 2]
+
+
+def test_secret_scan_without_both_labels_and_empty(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert secret_scan.scan(none).count() == 0
+    findings = secret_scan.made_findings(spark, [], 64).where("label = 1")
+    docs = spark.createDataFrame([(1, f"x {KEY}")], "doc_id long, text string")
+    assert secret_scan.scan(docs, findings=findings).first()["score"] == 1.0
