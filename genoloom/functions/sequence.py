@@ -45,6 +45,18 @@ def aligned_bases(cigar: Column) -> Column:
     return cigar_length(cigar, "MX=")
 
 
+def read_bases(cigar: Column) -> Column:
+    """Bases of the read that are aligned or inserted."""
+    return cigar_length(cigar, "MIX=")
+
+
+def high_bases(cigar: Column, qual: Column) -> Column:
+    """Of these, bases of quality 30 or more: all but the clipped ends are read."""
+    lead = F.coalesce(F.regexp_extract(cigar, r"^(?:\d+H)?(\d+)S", 1).try_cast("int"), F.lit(0))
+    trail = F.coalesce(F.regexp_extract(cigar, r"(\d+)S(?:\d+H)?$", 1).try_cast("int"), F.lit(0))
+    return F.regexp_count(F.substring(qual, lead + 1, F.length(qual) - lead - trail), F.lit(r"[?-~]"))
+
+
 def reference_length(cigar: Column) -> Column:
     """Bases of the reference that an alignment spans."""
     return cigar_length(cigar, "MDNX=")

@@ -80,21 +80,34 @@ def reads_profile(reads: DataFrame) -> DataFrame:
         F.count_if(use & ~mapped).alias("unmapped"),
         F.count_if(use & mapped & ~one).alias("multiple"),
         F.count_if(use & mapped & one).alias("unique_reads"),
-        F.coalesce(F.sum(F.when(use & mapped, S.aligned_bases(F.col("cigar")))), F.lit(0)).cast("long").alias("bases"),
+        F.coalesce(F.sum(F.when(use & mapped, S.read_bases(F.col("cigar")))), F.lit(0)).cast("long").alias("bases"),
+        *([F.coalesce(F.sum(F.when(use & mapped, S.high_bases(F.col("cigar"), F.col("qual")))), F.lit(0)).cast("long").alias("q30_bases")] if "qual" in reads.columns else []),
         *[F.count_if(S.flag(f, name)).alias(f"flag_{name}") for name in S.FLAGS],
     )
 
 
 def reads_by_reference(reads: DataFrame) -> DataFrame:
     """(ref_name, n) of mapped reads that are profiled."""
+    return profiled(reads).where(~S.flag(F.col("flag"), "unmapped")).groupBy("ref_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tag_tally(reads: DataFrame, value: Column, numeric: bool = False) -> DataFrame:
+    """(value, n) over the reads that are profiled, in order of the values; the missing ones last."""
+    counted = profiled(reads).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    key = F.col("value").try_cast("double") if numeric else F.col("value")
+    return counted.orderBy(F.col("value").isNull(), key, "value").select(F.coalesce("value", F.lit("missing")).alias("value"), "n")
+
+
+def profiled(reads: DataFrame) -> DataFrame:
+    """First-of-pair (or unpaired) reads that are no duplicate, failed or supplementary alignment."""
     f = F.col("flag")
     second = S.flag(f, "paired") & ~S.flag(f, "first")
-    use = ~second & ~S.flag(f, "duplicate") & ~S.flag(f, "qcfail") & ~S.flag(f, "supplementary") & ~S.flag(f, "unmapped")
-    return reads.where(use).groupBy("ref_name").agg(F.count(F.lit(1)).alias("n"))
+    return reads.where(~second & ~S.flag(f, "duplicate") & ~S.flag(f, "qcfail") & ~S.flag(f, "supplementary"))
 
 
 def median_insert(reads: DataFrame) -> DataFrame:
-    """One row: the median of |tlen| of proper pairs on one contig, whole; null once any read has gaps."""
+    """One row: the median of |insert_len| of proper pairs on one contig, whole; null once any read has gaps."""
     gap = F.max(F.col("cigar").contains("N").cast("int"))
-    proper = S.flag(F.col("flag"), "proper") & S.flag(F.col("flag"), "first") & F.col("ref_next").isin("=", "") | (F.col("ref_next") == F.col("ref_name"))
-    return reads.agg(F.when(F.coalesce(gap, F.lit(0)) == 0, F.floor(F.percentile(F.when(proper, F.abs("tlen")), 0.5))).alias("median_insert"))
+    same = (F.col("ref_next") == "=") | (F.col("ref_next") == F.col("ref_name"))
+    proper = S.flag(F.col("flag"), "proper") & same
+    return profiled(reads).agg(F.when(F.coalesce(gap, F.lit(0)) == 0, F.floor(F.percentile(F.when(proper, F.abs("insert_len")), 0.5))).alias("median_insert"))

@@ -301,7 +301,7 @@ _FLAG_SQL = ", ".join(f"count(*) filter (where (flag & {bit}) <> 0) as flag_{nam
 
 @_query(f"""select count(*) filter (where {_USE}) as reads, count(*) filter (where {_USE} and (flag & 4) = 0) as mapped, count(*) filter (where {_USE} and (flag & 4) <> 0) as unmapped,
     count(*) filter (where {_USE} and (flag & 4) = 0 and nh <> 1) as multiple, count(*) filter (where {_USE} and (flag & 4) = 0 and nh = 1) as unique_reads,
-    cast(coalesce(sum(case when {_USE} and (flag & 4) = 0 then list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MX=]', 1), lambda x: x::bigint)) end), 0) as bigint) as bases, {_FLAG_SQL} from g_reads""", ("g_reads",))
+    cast(coalesce(sum(case when {_USE} and (flag & 4) = 0 then list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MIX=]', 1), lambda x: x::bigint)) end), 0) as bigint) as bases, {_FLAG_SQL} from g_reads""", ("g_reads",))
 def read_stats(spark, d):
     return stats.reads_profile(view(spark, d, "g_reads").withColumn("ih", F.lit(None).cast("int")))
 
