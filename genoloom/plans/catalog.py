@@ -13,6 +13,7 @@ from genoloom.functions import sequence as S
 from genoloom.functions import variant as V
 from genoloom.operators import combine, filters, genotypes, interval_sets, intervals, range_join, reads, runs, stats
 
+from . import records as record_plans
 from .views import sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,3 +356,7 @@ def merged_sources(spark, d):
 @_query("select name, chrom, start_pos, end_pos, row_number() over (partition by chrom order by start_pos, end_pos, name) as nth from g_bed_a", ("g_bed_a",))
 def tab_sort(spark, d):
     return intervals.numbered(view(spark, d, "g_bed_a"), "chrom", "start_pos", ["start_pos", "end_pos", "name"])
+
+
+QUERIES.update(record_plans.QUERIES)
+ORACLES.update(record_plans.ORACLES)
