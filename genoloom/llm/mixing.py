@@ -131,8 +131,13 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     counted = materialise(base.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("size"), F.max("__size").alias("largest")), "cells")
     cells = targets(counted.groupBy(*of).agg(F.sum("size").alias("source_size")), weights, cap).withColumn("size", F.col("source_size").cast("double"))
     rated = newton(cells.withColumnRenamed("target", "target_0"), [of], cap).select(*of, "source_size", F.col("target_0").alias("target"), F.col("rate").alias("__rate"))
-    before = Window.partitionBy(*of).orderBy("__class", "__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select(*key, "n", F.col("size").alias("words"), "largest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start")).join(rated, of)
+    # what stands before a cell: the classes before its own, and the parts before it within the class
+    classes = counted.groupBy(*of, "__class").agg(F.sum("n").alias("__cn"))
+    earlier = Window.unboundedPreceding, -1
+    classes = classes.withColumn("__before", F.coalesce(F.sum("__cn").over(Window.partitionBy(*of).orderBy("__class").rowsBetween(*earlier)), F.lit(0))).drop("__cn")
+    within_class = F.coalesce(F.sum("n").over(Window.partitionBy(*of, "__class").orderBy("__part").rowsBetween(*earlier)), F.lit(0))
+    starts = counted.select(*key, "n", F.col("size").alias("words"), "largest", within_class.alias("__inner")).join(classes, [*of, "__class"])
+    starts = starts.withColumn("__start", F.col("__before") + F.col("__inner")).drop("__before", "__inner").join(rated, of)
     starts = materialise(starts, "starts")
     starts = starts.join(_fixes(starts, of, cap), key, "left")
     starts = starts.select(*[F.col(k).alias(f"{k}_") for k in key], "__start", "__rate", F.coalesce("__fix", F.lit(0)).alias("__fix"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
