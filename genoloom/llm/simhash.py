@@ -149,8 +149,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
     rooted = materialise(classes(nodes).join(nodes, "fp"), "classes")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    # written first, and only for classes of several fingerprints: the join below then meets two plain
+    # exchanges, whose large partitions Spark can split
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    least = materialise(least, "least")
+    named = rooted.join(least, "root", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -167,8 +170,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.struct(F.col("__id").isNull().alias("null_id"), "__id", "__hash")
     keyed = rows.groupBy("__id", "__hash", "fp").agg(F.count(F.lit(1)).alias("n")).join(classes(rows), "fp").select("root", "n", order.alias("k"))
     keyed = materialise(keyed, "keyed")
-    least = keyed.groupBy("root").agg(F.min("k").alias("least"))
-    judged = materialise(keyed.join(least, "root").select("n", "k.__id", "k.__hash", (F.col("k") == F.col("least")).alias("stays")), "judged")
+    least = keyed.groupBy("root").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    least = materialise(least, "least")
+    stays = F.col("least").isNull() | (F.col("k") == F.col("least"))
+    judged = materialise(keyed.join(least, "root", "left").select("n", "k.__id", "k.__hash", stays.alias("stays")), "judged")
     marked = docs.withColumns({f"__doc{n}": c for n, c in key.items()})
 
     def rows_of(t: DataFrame):
