@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions import genotype as G
 from genoloom.functions import sequence as S
-from genoloom.operators import align, interval_sets, intervals, range_join, reads, stats
+from genoloom.operators import align, annotate, interval_sets, intervals, range_join, reads, stats
 from genoloom.sources import bed, fastx, files, sam, tab
 from tests.helpers import path
 
@@ -160,10 +160,18 @@ def test_alignments(spark):
     assert align.pairwise("GTTTGTACCC", "GGGTACAAAC").reverse
     gap = align.align("ACGTTTACGTACG", "ACGTTTGACGTACG", align.Scores(gap_open=1), global_=True)
     assert gap.query.replace("-", "") == "ACGTTTACGTACG" and gap.target.replace("-", "") == "ACGTTTGACGTACG" and gap.query.count("-") == 1
+    assert align.align("TTACGTACGT", "ACGTACGT", align.Scores(clip=(5, 1))).score == 8 - 6
+    cheap = align.align("ACGGGGT", "ACGGT", align.Scores(gap_open=3, hp_scale=2, hp_cap=3), global_=True)
+    assert cheap.score == 5 and cheap.target == "ACGGT" or cheap.target.count("-") == 2
+    assert align.align("ACGTT", "ACGT", align.Scores(ins=(1, 1), dels=(9, 9)), global_=True).score == 3
+    assert align.compress("AACGGG") == ("ACG", [2, 1, 3])
+    assert align.msa_compressed(["AACGGGT", "ACGT"]) == ["AACGGGT", "A-CG--T"]
+    assert align.msa_compressed(["AACGGGT", "ACGT"], expand=False) == ["ACGT", "ACGT"]
     rows = align.msa(["ACGTACGT", "ACGACGT", "ACGTACGT"])
     assert len({len(r) for r in rows}) == 1 and align.consensus(rows) == "ACGTACGT" and [r.replace("-", "") for r in rows] == ["ACGTACGT", "ACGACGT", "ACGTACGT"]
     df = spark.createDataFrame([("ACGT", "TTACGTTT")], "query string, target string")
     assert align.align_pairs(df).first()["query_row"] == "ACGT"
+    assert abs(annotate.fisher(8, 2, 1, 5) - 14.5637) < 1e-3 and annotate.fisher(10, 10, 10, 10) < 1e-9  # the first has p = 0.034965
     groups = spark.createDataFrame([(1, "a", "ACGT"), (1, "b", "ACGT")], "g int, name string, seq string")
     assert {r["name"]: r["row"] for r in align.align_groups(groups, "g").collect()} == {"a": "ACGT", "b": "ACGT", "consensus": "ACGT"}
 

@@ -82,6 +82,11 @@ def test_panel_of_many_targets_equals_few(spark, coverage):
     assert keys(coverage.query(many)) == [("chr1", 100, "A", "G", "S2", "0/1"), ("chr1", 500, "A", "T", "S1", "0/1")]
 
 
+def test_few_targets_reach_the_scan(coverage):
+    plan = coverage._restrict(coverage.calls, targets.parse(["chr1:150-450"]))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(pos,450)" in plan and "GreaterThanOrEqual(ref_end,150)" in plan
+
+
 def test_depth_bands(spark, tmp_path):
     source = tmp_path / "in.vcf"
     source.write_text(BANDS_VCF + "".join(f"chr1\t{p}\t.\tG\tA\t50\tPASS\t.\tGT:DP\t0/0:{d}\n" for p, d in ((100, 12), (200, 15), (300, 30), (400, 35), (500, 60))))
