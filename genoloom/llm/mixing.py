@@ -122,10 +122,11 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     """The documents with size, source_size, target, rate, copies and taken."""
     id_, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string")
     base = docs.withColumns({"__none": source.isNull(), "__source": F.coalesce(source, F.lit("")), "__size": n_words(F.col(f"`{text_col}`"))})
-    # classes of size, the largest first, and a hash part within each
+    # classes of size, the largest first, and a hash part within each; never null, or joins on them
+    # would count the words once more in a filter at the scan
     base = base.withColumns({
-        "__class": F.when(F.col("__size") > 0, -F.floor(F.log2("__size") * CLASSES_PER_OCTAVE)).otherwise(1).cast("int"),
-        "__part": F.pmod(F.xxhash64(id_, "__size"), F.lit(PARTS)).cast("int"),
+        "__class": F.coalesce(F.when(F.col("__size") > 0, -F.floor(F.log2("__size") * CLASSES_PER_OCTAVE)).cast("int"), F.lit(1)),
+        "__part": F.coalesce(F.pmod(F.xxhash64(id_, "__size"), F.lit(PARTS)).cast("int"), F.lit(0)),
     })
     of, key = ["__none", "__source"], ["__none", "__source", "__class", "__part"]
     counted = materialise(base.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("size"), F.max("__size").alias("largest")), "cells")
