@@ -43,7 +43,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
