@@ -168,8 +168,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = {"__id": F.col(f"`{id_col}`"), "__hash": F.xxhash64(F.col(f"`{text_col}`").cast("string"))}
     rows = materialise(docs.select(*[c.alias(n) for n, c in key.items()], fingerprint(F.col(f"`{text_col}`"), shingle).alias("fp")), "fingerprints")
     order = F.struct(F.col("__id").isNull().alias("null_id"), "__id", "__hash")
-    keyed = rows.groupBy("__id", "__hash", "fp").agg(F.count(F.lit(1)).alias("n")).join(classes(rows), "fp").select("root", "n", order.alias("k"))
-    keyed = materialise(keyed, "keyed")
+    # equal hashes have equal fingerprints; grouped and joined by different keys, on two plain exchanges,
+    # the rows of a large group of copies can be split
+    counted = rows.groupBy("__id", "__hash").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    keyed = materialise(counted.join(materialise(classes(rows), "classes"), "fp").select("root", "n", order.alias("k")), "keyed")
     least = keyed.groupBy("root").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     least = materialise(least, "least")
     stays = F.col("least").isNull() | (F.col("k") == F.col("least"))
