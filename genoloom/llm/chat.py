@@ -73,7 +73,9 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     as they stand in ``formatted``, in code points from 0.
     """
     clean = messages.select("tree", "node", "parent", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    if not messages.groupBy("tree", "node").count().where("count > 1").isEmpty():
+    # written once: what follows reads ids, scores or texts of it, none of which is computed anew
+    clean = materialise(clean, "clean")
+    if not clean.groupBy("tree", "node").count().where("count > 1").isEmpty():
         one = Window.partitionBy("tree", "node").orderBy("role", "text", "score", "parent")
         clean = clean.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
     known = paths(clean)
