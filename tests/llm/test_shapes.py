@@ -207,6 +207,68 @@ def test_order_matters(spark):
     assert same == 1.0 and 0.2 < moved < 0.9
 
 
+def brute_order_signatures(spark, texts):
+    """The two least k-mers of every signature over all rounds, written out with Spark's hashes of single values."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(*values):
+        seed = 42
+        for v, size in values:
+            data = v if size == 0 else v.to_bytes(size, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+        return signed(seed)
+
+    out = []
+    for t in texts:
+        w = (t or "").split()
+        keys = [chain(*[(x.encode(), 0) for x in w[i : i + 2]]) >> 30 for i in range(max(1, len(w) - 1))] if w else []
+        seen, ks = {}, []
+        for at, k in enumerate(keys):
+            nth = seen[k] = seen.get(k, -1) + 1
+            ks.append((chain((k, 8), (nth, 4)) >> 30, at))
+        ks.sort()
+        best = [[] for _ in range(64)]
+        for i, (k, _) in enumerate(ks):
+            first = {}
+            for r in range(64):
+                h = chain((k, 8), (r, 4))
+                first.setdefault((h >> 58) + 32, (r, h >> 30 & (1 << 21) - 1, i))
+            for j in range(64):
+                best[j].append(first.get(j, (64, chain((k, 8), (64 + j, 4)) >> 30 & (1 << 21) - 1, i)))
+        sig = []
+        for j in range(64) if ks else ():
+            two = sorted((ks[i] for _, _, i in sorted(best[j])[:2]), key=lambda x: x[1])
+            sig.append((j - 32 << 32) | (chain(*[(k, 8) for k, _ in two]) & 0xFFFFFFFF))
+        out.append(sig)
+    return out
+
+
+def test_order_signatures_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "b", "ç", "dd"]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 9, 16, 40, 120, 500, 1200)] + [None, "x\n y\tz ", "same same same same"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r["s"] for r in df.select("i", order_minhash.order_signatures(F.col("text")).alias("s")).orderBy("i").collect()]
+    assert got == brute_order_signatures(spark, texts)
+
+
+@pytest.mark.parametrize("words", [20, 40, 64, 128])
+def test_order_counts_in_short_texts(spark, words):
+    rows = []
+    for k in range(40):
+        w = [f"w{k}_{i}" for i in range(words)]
+        q = words // 4
+        rows.append((k, " ".join(w), " ".join(w[3 * q :] + w[2 * q : 3 * q] + w[q : 2 * q] + w[:q])))
+    df = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    sig = lambda c: order_minhash.compare_edited(df.select("doc_id", F.col(c).alias("text"))).select("doc_id", F.col("fingerprint").alias(c))
+    cut = lambda s: [s[i : i + 10] for i in range(0, len(s), 10)]
+    got = [np.mean([x == y for x, y in zip(cut(r["a"]), cut(r["b"]), strict=True)]) for r in sig("a").join(sig("b"), "doc_id").collect()]
+    print(words, np.mean(got))
+    # pairs within a quarter keep their order, those of different quarters do not
+    assert len(got) == 40 and 0.02 < np.mean(got) < 0.28
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
