@@ -3,7 +3,9 @@
 Candidates are all runs of ``MIN_CHARS`` or more characters of keys and tokens, in whole texts. A
 candidate is told by its length, its character transitions (how often neighbouring characters
 change between digits, cases and signs, and how often consonants and vowels alternate), the share
-of it that dictionary words cover, its path, and the words before and after it. The dictionary is
+of it that dictionary words cover, its path, and the words before and after it. Where a candidate
+starts with a name and ``=``, as in settings of an environment, the name counts as words before it
+and the shape is that of the value. The dictionary is
 the ``DICTIONARY`` most frequent words of all texts.
 
 The forest is grown from labelled findings by grouped sums: features are cut into bins at
@@ -11,8 +13,9 @@ quantiles; for every level one aggregation counts weight and labels per tree, no
 bin, and the best cut of each node, among features drawn for it, has the least Gini impurity. Rows
 are drawn for a tree with Poisson weights from a hash. A grown forest is a few hundred cuts, which
 become one SQL expression. Findings to learn from may be given; by default they are made by rule,
-a fixed number: keys of several formats beside words that announce them, and long words, ids,
-addresses, checksums and placeholders.
+a fixed number of texts that are searched like any other: keys of several formats, announced,
+assigned to a name or without a word on them, and long words, ids, addresses, checksums and
+placeholders, some of them announced or assigned as well.
 
 Null texts have no candidates; null paths are empty. Texts without candidates give no row. Equal
 texts give equal verdicts. Without findings of both labels every candidate scores the share of
@@ -28,6 +31,7 @@ from .scratch import materialise
 
 MIN_CHARS = 16
 CANDIDATE = r"[A-Za-z0-9+/_=.\-]{16,}"
+NAMED = r"^([A-Za-z_][A-Za-z0-9_.\-]*)=(?=[^=])"
 CONTEXT = 48
 DICTIONARY = 512
 TREES, DEPTH, BINS, DRAWN, MIN_LEAF = 16, 5, 16, 4, 4
@@ -58,15 +62,17 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = N
 
 def features(found: DataFrame, words: list[str]) -> DataFrame:
     """The features of (candidate, before, after, path), each a double ``f_<name>``."""
-    c = F.col("candidate")
+    name = F.regexp_extract("candidate", NAMED, 1)
+    c = F.regexp_replace("candidate", NAMED, "")
     n = F.length(c)
-    turns = lambda a, b: F.regexp_count(c, F.lit(f"(?<=[{a}])(?=[{b}])|(?<=[{b}])(?=[{a}])")) / (n - 1)
+    between = F.greatest(n - 1, F.lit(1))
+    turns = lambda a, b: F.regexp_count(c, F.lit(f"(?<=[{a}])(?=[{b}])|(?<=[{b}])(?=[{a}])")) / between
     letters = F.lower(F.regexp_replace(c, "[^A-Za-z]+", " "))
     # longest words first, so that what a word covers is not cut by a shorter one
     inside = F.aggregate(F.array(*[F.lit(w) for w in sorted(words, key=lambda w: (-len(w), w))]), letters, lambda left, w: F.replace(left, w, F.lit("#")))
     open_ = F.length(F.regexp_replace(inside, "[^a-z]", ""))
     all_ = F.length(F.regexp_replace(letters, "[^a-z]", ""))
-    near = F.lower(F.substring("before", -CONTEXT // 2, CONTEXT // 2))
+    near = F.lower(F.concat(F.substring("before", -CONTEXT // 2, CONTEXT // 2), name))
     made = {
         "length": F.least(n, F.lit(200)),
         "digit_turns": turns("0-9", "A-Za-z"),
@@ -80,7 +86,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "path_depth": F.least(F.regexp_count("path", F.lit("/")), F.lit(20)),
         "key_word": near.rlike(KEY_WORDS).cast("int"),
         "other_word": F.concat(near, F.lower(F.substring("after", 1, CONTEXT // 2)), F.lower("candidate")).rlike(OTHER_WORDS).cast("int"),
-        "assigned": F.col("before").rlike(r"[=:]\s*[\"'`]?$").cast("int"),
+        "assigned": ((name != "") | F.col("before").rlike(r"[=:]\s*[\"'`]?$")).cast("int"),
         "quoted": (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("int"),
     }
     return found.withColumns({f"f_{k}": v.cast("double") for k, v in made.items()})
@@ -94,7 +100,7 @@ def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY)
 
 
 def made_findings(spark: SparkSession, words: list[str], n: int = MADE) -> DataFrame:
-    """Labelled findings made by rule from hashes of 0 to n-1: (candidate, before, after, path, label)."""
+    """Candidates of texts made by rule from hashes of 0 to n-1: (candidate, before, after, path, label)."""
     i = F.col("id")
     u = lambda salt, m: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(m)).cast("int")
     pick = lambda salt, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), u(salt, len(xs)) + 1)
@@ -116,23 +122,24 @@ def made_findings(spark: SparkSession, words: list[str], n: int = MADE) -> DataF
         F.repeat(pick(5, ["x", "0", "-", "=", "_", "."]), 24), F.lit("YOUR_API_KEY_HERE_EXAMPLE"), F.concat_ws("_", word(31), word(32), word(33), word(34)),
         F.substring(hexes, 1, 40), F.substring(hexes, 1, 64),
     ]
+    label = F.pmod(i, F.lit(2)) == 1
+    choose = lambda xs, at: F.element_at(F.array(*xs), at + 1)
     kind = u(1, len(secret))
     not_kind = u(2, len(harmless))
     digest = not_kind >= len(harmless) - 2
-    before1 = F.concat(word(6), F.lit(" "), pick(7, ["token = \"", "secret: ", "api_key=", "password = '", "Authorization: Bearer ", "access_key = \"", "TOKEN = \"", "auth_token: \"", "client_key=\"", "export SECRET="]))
-    after1 = F.concat(pick(8, ["\"", "", "'", "\n"]), F.lit(" "), word(9))
-    before0 = F.when(digest, F.concat(word(6), F.lit(" "), pick(7, ["commit ", "sha1: ", "sha256:", "checksum = ", "revision ", "md5 = \"", "integrity: "]))).otherwise(F.concat(word(6), F.lit(" "), pick(7, [" ", ", ", "\n", "(", ". ", "| ", "= ", ": "])))
-    after0 = F.concat(pick(8, [" ", ".", ",", "\n", ")"]), word(9))
-    label = F.pmod(i, F.lit(2)) == 1
-    choose = lambda xs, at: F.element_at(F.array(*xs), at + 1)
-    path = F.when(label, pick(10, ["src/app/settings.py", "config/prod.env", "deploy/values.yaml", "src1", "src7"])).otherwise(pick(10, ["tests/data/sample.txt", "docs/guide.md", "src/app/page.txt", "src3", "src9"]))
-    return spark.range(n).select(
-        F.when(label, choose(secret, kind)).otherwise(choose(harmless, not_kind)).alias("candidate"),
-        F.when(label, before1).otherwise(before0).alias("before"),
-        F.when(label, after1).otherwise(after0).alias("after"),
-        path.alias("path"),
-        label.cast("int").alias("label"),
-    )
+    announced = pick(7, ["token = \"", "secret: ", "api_key: \"", "password = '", "Authorization: Bearer ", "access_key = \"", "TOKEN = \"", "auth_token: \"", "client_key = \"", "secret key "])
+    assigned = pick(7, ["API_KEY=", "export SECRET=", "AWS_SECRET_ACCESS_KEY=", "GITHUB_TOKEN=", "DB_PASSWORD=", "auth_token=", "CLIENT_KEY=", "api-key="])
+    settings = pick(7, ["DATABASE_NAME=", "export HOME_PAGE=", "LOG_LEVEL=", "title=", "IMAGE_TAG=", "APP_REGION="])
+    silent = pick(11, [" ", ", ", "\n", "(", ". ", "| ", "= ", ": ", " \"", "id "])
+    digests = pick(7, ["commit ", "sha1: ", "sha256:", "checksum = ", "revision ", "md5 = \"", "integrity: ", "GIT_COMMIT=", "SHA256="])
+    # keys: a third each announced, assigned and alone; of the others, half stand alone
+    before1 = choose([announced, assigned, silent], u(12, 3))
+    before0 = F.when(digest, digests).otherwise(choose([silent, silent, silent, settings, announced, assigned], u(12, 6)))
+    before = F.concat(word(6), F.lit(" "), F.when(label, before1).otherwise(before0))
+    after = F.concat(pick(8, ["\"", " ", "'", "\n", ","]), F.lit(" "), word(9))
+    path = F.when(label | (u(13, 2) == 0), pick(10, ["src/app/settings.py", "config/prod.env", "deploy/values.yaml", "src1", "src7"])).otherwise(pick(10, ["tests/data/sample.txt", "docs/guide.md", "src/app/page.txt", "src3", "src9"]))
+    texts = spark.range(n).select(F.concat(before, F.when(label, choose(secret, kind)).otherwise(choose(harmless, not_kind)), after).alias("text"), path.alias("made_path"), label.cast("int").alias("label"))
+    return candidates(texts, "text", "made_path").select("candidate", "before", "after", "path", "label")
 
 
 class Forest:
