@@ -1,29 +1,34 @@
 """LM scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
 Tokens are the words of the lower-cased text and one end. All training documents are counted, and
-all of them train the model: each partition runs the same stochastic gradient descent in numpy
-over its own tokens, from the same start, and the parameters are averaged by tokens, summed by a
-shuffle. Only the averaged parameters and a table of the most frequent words reach the driver;
-both are of fixed size.
-
-The model predicts a class from the two classes before it. The ``VOCABULARY`` most frequent tokens
-are classes of their own; every other word belongs to one of ``TAILS`` classes by its last two
-bytes, and within a class words follow their add-half counts with room for one word never seen. So
-the probabilities of all words sum to one. The score of a class is bilinear: context vectors,
-scaled by a learned diagonal for each position, times the class's vector, plus its bias. A product
-of matrices gives the normaliser of every context at once, so that scores are exact log10
-probabilities.
+all of them train the model. The model predicts a token's row from the groups of the two tokens
+before it. Every token counted ``MIN_COUNT`` times has a row of its own, up to the ``ROWS`` most
+frequent (the bound of what is broadcast), so the rows grow with the corpus; the others belong to one
+of ``TAILS`` rows by their last two bytes, and within such a row words follow their add-half counts
+with room for one word never seen. So the probabilities of all words sum to one. Before a token, the
+``CONTEXTS`` most frequent are groups of their own and the others go by the same tails. The score of a
+row is bilinear: vectors of the groups before it, scaled by a learned diagonal for each position,
+times the row's vector, plus the log of its share of all tokens. Products of matrices give the normaliser of every pair of
+groups, in blocks over the executors, so scores are exact log10 probabilities.
+
+Training does not depend on how the table is cut into files and tasks. Documents are dealt by a hash
+of id and text to ``ROUNDS`` rounds and to shards of about ``SHARD_TOKENS`` tokens. In a round every
+shard descends by itself in numpy, in the order of the hash, from the parameters of the round before;
+then each row's values are averaged over the shards that met the row, weighted by how often. So a word
+that few shards hold is not held back by the others, and every round goes on where the last one ended.
 
 Counts of the ``HEAD`` most frequent tokens travel to the executors; the rest of a document's words
 are joined with the full table of counts, so every count is exact whatever the vocabulary's size.
 Words are told apart by a 64-bit hash.
 
 Null texts count as empty: one token, the end. Rows with a null id are scored, and not learned
-from. Repeated rows count as often as they occur. Without training documents every count is 0.
+from. Repeated rows count as often as they occur; rows equal in id and text train in one shard, which
+streams them. Without training documents every count is 0.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,22 +36,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import materialise
 from .textbytes import SPACE, blocks, row_sums, words
 
-VOCABULARY = 1024
-TAILS = 64
+ROWS, MIN_COUNT = 1 << 16, 8
+CONTEXTS, TAILS = 1792, 256
 HEAD = 1 << 18
 DIM = 16
-BATCH = 2048
-NOISE, SHARED = 8, 64
-RATE = 0.15
+BATCH = 4096
+NOISE, SHARED = 8, 32
+RATE, SEEN = 0.2, 0.1
+ROUNDS, SHARD_TOKENS = 4, 1 << 23
 END = np.uint64(0x5EED_0E0D)
-_CLASSES = VOCABULARY + TAILS
-_START = _CLASSES  # the class before the first token
+_GROUPS = CONTEXTS + TAILS
+_START = _GROUPS  # the group before the first token
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,13 +101,15 @@ def count_tokens(train: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The most frequent tokens by hash, with counts and classes, and totals of all tokens."""
+    """The most frequent tokens by hash, with counts, rows and groups, and totals of all tokens."""
 
     h: np.ndarray
     n: np.ndarray
-    cls: np.ndarray  # below VOCABULARY, or VOCABULARY + the tail
-    class_n: np.ndarray
-    class_size: np.ndarray  # different words of each tail
+    row: np.ndarray  # below ``own``, or ``own`` + the tail
+    group: np.ndarray
+    own: int
+    row_n: np.ndarray
+    row_size: np.ndarray  # different words of each row
     total: int
     distinct: int
 
@@ -109,17 +117,19 @@ class Vocabulary:
     def of(cls, counts: DataFrame) -> Vocabulary:
         head = counts.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
         h, tail, n = (head[c].to_numpy() for c in ("h", "tail", "n"))
-        kind = np.where(np.arange(len(h)) < VOCABULARY, np.arange(len(h)), VOCABULARY + tail)
-        sums = {r["tail"]: (r["n"], r["v"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-        class_n, class_size = np.zeros(_CLASSES), np.zeros(_CLASSES)
-        for t, (a, b) in sums.items():
-            class_n[VOCABULARY + t], class_size[VOCABULARY + t] = a, b
-        top = min(VOCABULARY, len(h))
-        np.subtract.at(class_n, VOCABULARY + tail[:top], n[:top])
-        np.subtract.at(class_size, VOCABULARY + tail[:top], 1)
-        class_n[:top] = n[:top]
+        own = min(ROWS, int((n >= MIN_COUNT).sum()))
+        rank = np.arange(len(h))
+        row, group = np.where(rank < own, rank, own + tail), np.where(rank < CONTEXTS, rank, CONTEXTS + tail)
+        row_n, row_size = np.zeros(own + TAILS), np.zeros(own + TAILS)
+        total = distinct = 0
+        for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+            row_n[own + r["tail"]], row_size[own + r["tail"]] = r["n"], r["v"]
+            total, distinct = total + r["n"], distinct + r["v"]
+        np.subtract.at(row_n, own + tail[:own], n[:own])
+        np.subtract.at(row_size, own + tail[:own], 1)
+        row_n[:own] = n[:own]
         by = np.argsort(h.view(np.uint64))
-        return cls(h.view(np.uint64)[by], n[by], kind[by], class_n, class_size, int(sum(a for a, _ in sums.values())), int(sum(b for _, b in sums.values())))
+        return cls(h.view(np.uint64)[by], n[by], row[by].astype(np.int32), group[by].astype(np.int32), own, row_n, row_size, int(total), int(distinct))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each token in the table, and whether it is there."""
@@ -128,18 +138,21 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         return at, self.h[at] == h
 
-    def classes(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and groups of tokens, their positions in the table, and whether they are there."""
         at, there = self.find(h)
-        return np.where(there, self.cls[at] if len(self.h) else 0, VOCABULARY + tail), at, there
+        if not len(self.h):
+            return self.own + tail, CONTEXTS + tail, at, there
+        return np.where(there, self.row[at], self.own + tail), np.where(there, self.group[at], CONTEXTS + tail), at, there
 
     def unigram(self) -> np.ndarray:
-        return (self.class_n + 0.5) / (self.class_n.sum() + 0.5 * _CLASSES)
+        return (self.row_n + 0.5) / (self.row_n.sum() + 0.5 * len(self.row_n))
 
 
-def _contexts(cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two before each token, within its row."""
-    one, two = np.empty_like(cls), np.empty_like(cls)
-    one[1:], two[2:] = cls[:-1], cls[:-2]
+def _contexts(group: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups one and two before each token, within its document."""
+    one, two = np.empty_like(group), np.empty_like(group)
+    one[1:], two[2:] = group[:-1], group[:-2]
     one[first[:-1]] = two[first[:-1]] = _START
     second = first[:-1][np.diff(first) > 1] + 1
     two[second] = _START
@@ -147,120 +160,184 @@ def _contexts(cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class LogBilinear:
-    """Parameters: context vectors, class vectors, biases and the diagonals of both positions."""
+    """Vectors of groups and rows, the diagonals of both positions, and fixed biases of rows.
+
+    ``seen`` holds for each vector the sum of squares that scales its steps.
+    """
+
+    PARTS = "context", "target", "scale"
 
     def __init__(self, unigram: np.ndarray, dim: int = DIM, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.context = rng.normal(0, 0.1, (_CLASSES + 1, dim)).astype(np.float32)
-        self.target = rng.normal(0, 0.1, (_CLASSES, dim)).astype(np.float32)
-        self.bias = np.log(unigram).astype(np.float32)
+        self.context = rng.normal(0, 0.1, (_GROUPS + 1, dim)).astype(np.float32)
+        self.target = rng.normal(0, 0.1, (len(unigram), dim)).astype(np.float32)
         self.scale = np.ones((2, dim), np.float32)
+        self.bias = np.log(unigram).astype(np.float32)
+        self.seen = {k: np.full(len(getattr(self, k)), SEEN, np.float32) for k in self.PARTS}
+
+    def offsets(self) -> dict[str, int]:
+        """Where each part starts when all vectors are numbered through."""
+        return {"context": 0, "target": len(self.context), "scale": len(self.context) + len(self.target)}
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.target, self.bias, self.scale)])
+    def log_normaliser(self, lo: int, hi: int, step: int = 4096) -> np.ndarray:
+        """ln of the sum over all rows, for groups lo to hi one before and every group two before."""
+        z = np.zeros((hi - lo, _GROUPS + 1), np.float32)
+        for a in range(0, len(self.bias), step):
+            q = self.target[a : a + step].T
+            z += np.exp((self.context[lo:hi] * self.scale[0]) @ q + self.bias[a : a + step]) @ np.exp((self.context * self.scale[1]) @ q).T
+        return np.log(z)
 
-    def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
-        for name in ("context", "target", "bias", "scale"):
-            x = getattr(self, name)
-            setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return self
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Score tables of both positions (bias in the first) and ln of every context's normaliser."""
-        one = (self.context * self.scale[0]) @ self.target.T + self.bias
-        two = (self.context * self.scale[1]) @ self.target.T
-        a, b = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
-        z = np.exp(one - a).astype(np.float64) @ np.exp(two - b).astype(np.float64).T
-        return one, two, (np.log(z) + a + b.T).astype(np.float32)
+def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different indexes, the sum of the values of each, and how often it occurs."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    start = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    return index[start], np.add.reduceat(values[order], start, axis=0), np.diff(np.append(start, len(index)))
 
 
 class Trainer:
     """Stochastic gradient descent on the noise-contrastive objective, with scaled steps."""
 
-    def __init__(self, model: LogBilinear, unigram: np.ndarray, rate: float = RATE, seed: int = 13):
-        self.m, self.rate, self.rng, self.tokens = model, rate, np.random.default_rng(seed), 0
-        self.noise_cdf = np.cumsum(unigram)
+    def __init__(self, model: LogBilinear, unigram: np.ndarray, seed: int = 13, rate: float = RATE):
+        self.m, self.rate, self.rng = model, np.float32(rate), np.random.default_rng(seed)
+        self.cdf = np.cumsum(unigram)
         self.log_kp = np.log(NOISE * unigram).astype(np.float32)
-        self.seen = [np.full_like(x, 1e-6) for x in (model.context, model.target, model.bias, model.scale)]
-
-    def step(self, one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> None:
-        m, dim = self.m, self.m.scale.shape[1]
-        drawn = np.minimum(np.searchsorted(self.noise_cdf, self.rng.random(SHARED) * self.noise_cdf[-1]), _CLASSES - 1)
+        self.met = {k: np.zeros(len(getattr(model, k)), np.int64) for k in model.PARTS}
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _move(self, part: str, rows: np.ndarray, grad: np.ndarray, times: np.ndarray | int) -> None:
+        x, seen = getattr(self.m, part), self.m.seen[part]
+        seen[rows] += np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        x[rows] -= grad * (self.rate / np.sqrt(seen[rows]))[:, None]
+        self.met[part][rows] += times
+
+    def step(self, one: np.ndarray, two: np.ndarray, row: np.ndarray) -> None:
+        m = self.m
+        drawn = np.minimum(np.searchsorted(self.cdf, self.rng.random(SHARED) * self.cdf[-1]), len(self.cdf) - 1)
         r1, r2 = m.context[one], m.context[two]
         predicted = r1 * m.scale[0] + r2 * m.scale[1]
-        q, qn = m.target[cls], m.target[drawn]
-        true = np.einsum("ij,ij->i", predicted, q) + m.bias[cls] - self.log_kp[cls]
+        q, qn = m.target[row], m.target[drawn]
+        true = np.einsum("ij,ij->i", predicted, q) + m.bias[row] - self.log_kp[row]
         false = predicted @ qn.T + (m.bias[drawn] - self.log_kp[drawn])
-        g = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-        gn = np.float32(NOISE / SHARED) / (1 + np.exp(-np.clip(false, -30, 30)))
+        with np.errstate(over="ignore"):
+            g = -1 / (1 + np.exp(true))
+            gn = np.float32(NOISE / SHARED) / (1 + np.exp(-false))
         back = g[:, None] * q + gn @ qn
-
-        def spread(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-            flat = (index[:, None] * dim + np.arange(dim)).ravel()
-            return np.bincount(flat, weights=values.ravel(), minlength=rows * dim).reshape(rows, dim).astype(np.float32)
-
-        context = spread(one, back * m.scale[0], _CLASSES + 1) + spread(two, back * m.scale[1], _CLASSES + 1)
-        target = spread(cls, g[:, None] * predicted, _CLASSES)
-        np.add.at(target, drawn, gn.T @ predicted)
-        bias = np.bincount(cls, weights=g, minlength=_CLASSES).astype(np.float32)
-        np.add.at(bias, drawn, gn.sum(axis=0))
-        scale = np.stack([(back * r1).sum(axis=0), (back * r2).sum(axis=0)])
-        for x, seen, grad in zip((m.context, m.target, m.bias, m.scale), self.seen, (context, target, bias, scale), strict=True):
-            grad /= len(cls)
-            seen += grad * grad
-            x -= np.float32(self.rate) * grad / np.sqrt(seen)
-        self.tokens += len(cls)
-
-    def run(self, one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> None:
-        for lo in range(0, len(cls), BATCH):
-            self.step(one[lo : lo + BATCH], two[lo : lo + BATCH], cls[lo : lo + BATCH])
+        groups, moved, times = _sums(np.concatenate([one, two]), np.concatenate([back * m.scale[0], back * m.scale[1]]))
+        rows, rest, met = _sums(np.concatenate([row, drawn]), np.concatenate([g[:, None] * predicted, gn.T @ predicted]))
+        scale = np.stack([(back * r1).sum(axis=0), (back * r2).sum(axis=0)]) / np.float32(len(row))
+        self._move("context", groups, moved, times)
+        self._move("target", rows, rest, met)
+        self._move("scale", np.arange(2), scale, len(row))
+
+    def add(self, *tokens: np.ndarray, last: bool = False) -> None:
+        """Train on (one, two, row) in steps of ``BATCH`` tokens, wherever the stream is cut."""
+        self.held.append(tokens)
+        n = sum(len(x[0]) for x in self.held)
+        if n < 16 * BATCH and not last:
+            return
+        one, two, row = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        done = n if last else n - n % BATCH
+        for lo in range(0, done, BATCH):
+            self.step(one[lo : min(lo + BATCH, done)], two[lo : min(lo + BATCH, done)], row[lo : min(lo + BATCH, done)])
+        self.held = [(one[done:], two[done:], row[done:])]
+
+    def found(self) -> pa.RecordBatch:
+        """The vectors that were met, numbered through, with how often."""
+        self.add(*[np.zeros(0, np.int64)] * 3, last=True)
+        at, n, seen, values = [], [], [], []
+        for part, start in self.m.offsets().items():
+            rows = np.flatnonzero(self.met[part])
+            at.append(rows + start)
+            n.append(self.met[part][rows].astype(np.float64))
+            seen.append(self.m.seen[part][rows])
+            values.append(getattr(self.m, part)[rows])
+        flat = np.concatenate(values)
+        return pa.record_batch([np.concatenate(at), np.concatenate(n), np.concatenate(seen), *[np.ascontiguousarray(flat[:, i]) for i in range(flat.shape[1])]], ["at", "n", "seen", *[f"v{i}" for i in range(flat.shape[1])]])
+
+
+def train(texts: DataFrame, vocabulary: Broadcast, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
+    """The model after all rounds; the same for any layout of the rows of ``texts``."""
+    v = vocabulary.value
+    unigram = v.unigram()
+    model = LogBilinear(unigram)
+    shards = max(1, -(-v.total // shard_tokens))
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.xxhash64(F.col(f"`{id_col}`"), text)
+    dealt = texts.select(text.alias("text"), key.alias("key")).withColumns({"round": F.pmod("key", F.lit(ROUNDS)), "shard": F.pmod(F.hash("key"), F.lit(shards))})
+    names = [f"v{i}" for i in range(DIM)]
+    kind = "at bigint, n double, seen float, " + ", ".join(f"{x} float" for x in names)
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    for nth in range(ROUNDS):
+        start = texts.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], nth: int = nth, start: Broadcast = start) -> Iterator[pa.RecordBatch]:
+            words, now, trainer = vocabulary.value, None, None
+            for batch in batches:
+                shard = batch.column(1).to_numpy()
+                cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(shard)]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if hi > lo and shard[lo] != now:
+                        if trainer:
+                            yield trainer.found()
+                        now = shard[lo]
+                        trainer = Trainer(copy.deepcopy(start.value), words.unigram(), seed=int(now) * ROUNDS + nth)
+                    for h, tail, first in _tokens(batch.column(0).slice(lo, hi - lo)):
+                        row, group, _, _ = words.places(h, tail)
+                        trainer.add(*_contexts(group, first), row)
+            if trainer:
+                yield trainer.found()
+
+        mine = dealt.where(F.col("round") == nth).select("text", "shard", "key")
+        mine = mine.repartition(min(3 * shards, 20_000) if shards > 1 else 1, "shard").sortWithinPartitions("shard", "key")
+        # in the order of the hash, a shard's steps are the same however its rows arrived
+        moved = mine.select("text", "shard").mapInArrow(run, kind).groupBy("at").agg(mean("seen"), *[mean(x) for x in names]).toArrow()
+        at, seen = moved["at"].to_numpy(), moved["seen"].to_numpy()
+        values = np.stack([moved[x].to_numpy() for x in names], axis=1).astype(np.float32)
+        for part, lo in model.offsets().items():
+            x = getattr(model, part)
+            own = (at >= lo) & (at < lo + len(x))
+            x[at[own] - lo] = values[own]
+            model.seen[part][at[own] - lo] = seen[own]
+        start.unpersist()
+    return model
 
 
-def train(texts: DataFrame, vocabulary: Broadcast, text_col: str = "text") -> LogBilinear:
-    """One pass of every partition over its tokens; the parameters, averaged by tokens."""
+def log_normalisers(spark: SparkSession, model: Broadcast, block: int = 64) -> np.ndarray:
+    """ln of the normaliser of every pair of groups, computed in blocks over the executors."""
+    n = _GROUPS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        unigram = v.unigram()
-        model = LogBilinear(unigram)
-        trainer = Trainer(model, unigram)
         for batch in batches:
-            for h, tail, first in _tokens(batch.column(0)):
-                cls, _, _ = v.classes(h, tail)
-                trainer.run(*_contexts(cls, first), cls)
-        if trainer.tokens:
-            yield pa.record_batch([pa.array([trainer.tokens], pa.int64()), pa.array([model.flat()], pa.list_(pa.float32()))], ["tokens", "values"])
-
-    parts = texts.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "tokens bigint, values array<float>")
-    cells = parts.select("tokens", F.posexplode("values").alias("at", "value")).groupBy("at").agg((F.sum(F.col("value").cast("double") * F.col("tokens")) / F.sum("tokens")).alias("value"))
-    found = cells.toArrow()
-    model = LogBilinear(vocabulary.value.unigram())
-    if found.num_rows:
-        flat = np.zeros(len(model.flat()))
-        flat[found["at"].to_numpy()] = found["value"].to_numpy()
-        model.load(flat)
-    return model
+            for i in batch.column(0).to_pylist():
+                z = model.value.log_normaliser(i * block, min(n, (i + 1) * block))
+                yield pa.record_batch([pa.array([i]), pa.array([z.tobytes()], pa.binary())], ["i", "z"])
+
+    blocks_ = -(-n // block)
+    rows = spark.range(0, blocks_, 1, min(blocks_, 16)).mapInArrow(run, "i bigint, z binary").collect()
+    return np.concatenate([np.frombuffer(r["z"], np.float32).reshape(-1, n) for r in sorted(rows, key=lambda r: r["i"])])
 
 
 _SCORED = "rid bigint, n_tokens bigint, n_known bigint, base double, score double, tail array<bigint>"
 
 
-def _score_texts(texts: pa.Array, v: Vocabulary, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple]:
-    one_t, two_t, norm = tables
+def _score_texts(texts: pa.Array, v: Vocabulary, model: LogBilinear, norm: np.ndarray) -> Iterator[tuple]:
     floor = np.log10(v.total + 0.5 * (v.distinct + 1))
     count_log = np.log10(v.n + 0.5) if len(v.n) else np.zeros(1)
-    # what a tail's word loses to its class; words with a class of their own lose nothing
-    within = np.log10(v.class_n + 0.5 * (v.class_size + 1))
+    # what a word loses to its tail's row; words with a row of their own lose nothing
+    within = np.log10(v.row_n + 0.5 * (v.row_size + 1))
+    near, far = model.context * model.scale[0], model.context * model.scale[1]
     for h, tail, first in _tokens(texts):
-        cls, at, there = v.classes(h, tail)
-        own = cls < VOCABULARY
-        one, two = _contexts(cls, first)
-        logp = (one_t[one, cls] + two_t[two, cls] - norm[one, two]).astype(np.float64) / np.log(10)
+        row, group, at, there = v.places(h, tail)
+        one, two = _contexts(group, first)
+        logp = np.empty(len(row))
+        for lo in range(0, len(row), 1 << 16):
+            a, b, r = one[lo : lo + (1 << 16)], two[lo : lo + (1 << 16)], row[lo : lo + (1 << 16)]
+            logp[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", near[a] + far[b], model.target[r]) + model.bias[r] - norm[a, b]
         counted = np.where(there, count_log[np.minimum(at, len(count_log) - 1)], 0.0)
         base = row_sums(counted - floor, first)
-        score = row_sums(logp + np.where(own, 0.0, counted - within[cls]), first)
+        score = row_sums(logp / np.log(10) + np.where(row < v.own, 0.0, counted - within[row]), first)
         known = row_sums(there.astype(np.int64), first)
         rare = np.flatnonzero(~there)
         rows = np.searchsorted(first, rare, "right") - 1
@@ -272,15 +349,16 @@ def score(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text_c
     counts = count_tokens(learn_from, text_col)
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary.of(counts))
-    tables = spark.sparkContext.broadcast(train(learn_from, vocabulary, text_col).tables())
+    model = spark.sparkContext.broadcast(train(learn_from, vocabulary, id_col, text_col))
+    norm = spark.sparkContext.broadcast(log_normalisers(spark, model))
     total = vocabulary.value.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, t = vocabulary.value, tables.value
+        v, m, z = vocabulary.value, model.value, norm.value
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             lo = 0
-            for tokens, known, base, scored, rare, first in _score_texts(batch.column(1), v, t):
+            for tokens, known, base, scored, rare, first in _score_texts(batch.column(1), v, m, z):
                 n = len(tokens)
                 tail = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(rare))
                 yield pa.record_batch([batch.column(0).slice(lo, n), pa.array(rid + np.arange(n)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(scored), tail], ["id", *[x.split()[0] for x in _SCORED.split(", ")]])

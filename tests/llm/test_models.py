@@ -91,11 +91,51 @@ def test_lm_equals_counts_and_beats_them(spark, corpus, monkeypatch):
     assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
 
 
-def test_lm_probabilities_sum_to_one():
-    model = lm.LogBilinear(np.full(lm._CLASSES, 1 / lm._CLASSES))
-    one, two, z = model.tables()
-    for a, b in ((0, 5), (lm._START, lm._START), (7, 1087)):
-        assert math.isclose(np.exp(one[a] + two[b] - z[a, b]).sum(), 1, rel_tol=1e-4)
+def _held_out(spark, corpus, parts):
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(parts)
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    rows = {r["doc_id"]: (r["score"], r["base_score"], r["n_tokens"]) for r in lm.score(docs, docs.where(part != 1)).collect()}
+    held = [rows[i] for i in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    return rows, sum(s - b for s, b, _ in held) / sum(n for *_, n in held)
+
+
+@pytest.mark.parametrize("shard_tokens", [1 << 23, 1500])
+def test_lm_training_does_not_depend_on_partitions(spark, corpus, monkeypatch, shard_tokens):
+    monkeypatch.setattr(lm.train, "__defaults__", (*lm.train.__defaults__[:-1], shard_tokens))
+    monkeypatch.setattr(lm, "BATCH", 256)
+    one, gain = _held_out(spark, corpus, 1)
+    assert gain > 0.01
+    for parts in (64, 256) if shard_tokens < 10_000 else (64,):
+        many, same_gain = _held_out(spark, corpus, parts)
+        assert abs(gain - same_gain) < 1e-4
+        assert one.keys() == many.keys() and all(math.isclose(one[i][0], many[i][0], rel_tol=1e-5) for i in one)
+
+
+def test_lm_scores_equal_a_softmax_written_out(spark, corpus):
+    docs = spark.createDataFrame(corpus[:60], "doc_id long, text string")
+    v = lm.Vocabulary.of(lm.count_tokens(docs))
+    rng = np.random.default_rng(3)
+    model = lm.LogBilinear(v.unigram())
+    model.scale = rng.normal(1, 0.5, model.scale.shape).astype(np.float32)
+    model.target = rng.normal(0, 0.5, model.target.shape).astype(np.float32)
+    norm = lm.log_normalisers(spark, spark.sparkContext.broadcast(model))
+    text = "yes and the way r7 never"
+    (n_tokens, known, base, score, rare, _) = next(iter(lm._score_texts(pa.array([text]), v, model, norm)))
+    h, tail, _ = next(iter(lm._tokens(pa.array([text]))))
+    total, groups, rows = 0.0, [lm._START, lm._START], []
+    for x, t in zip(h.tolist(), tail.tolist(), strict=True):
+        at = np.flatnonzero(v.h == np.uint64(x))
+        row, group = (int(v.row[at[0]]), int(v.group[at[0]])) if len(at) else (v.own + t, lm.CONTEXTS + t)
+        scores = [float((model.context[groups[-1]] * model.scale[0] + model.context[groups[-2]] * model.scale[1]) @ model.target[r] + model.bias[r]) for r in range(len(model.bias))]
+        top = max(scores)
+        total += (scores[row] - top - math.log(sum(math.exp(s - top) for s in scores))) / math.log(10)
+        if row >= v.own:
+            # an unknown word's own part, log10 of one half, is added by the join with the counts
+            total += (math.log10(v.n[at[0]] + 0.5) if len(at) else 0.0) - math.log10(v.row_n[row] + 0.5 * (v.row_size[row] + 1))
+        groups.append(group)
+        rows.append(row)
+    assert v.own < len(model.bias) and min(rows) < v.own <= max(rows) and len(rare) == 1 and known[0] == n_tokens[0] - 1
+    assert math.isclose(score[0], total, rel_tol=1e-5)
 
 
 def test_lm_empty(spark):
