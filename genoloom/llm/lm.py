@@ -179,12 +179,18 @@ class LogBilinear:
         """Where each part starts when all vectors are numbered through."""
         return {"context": 0, "target": len(self.context), "scale": len(self.context) + len(self.target)}
 
-    def log_normaliser(self, lo: int, hi: int, step: int = 4096) -> np.ndarray:
+    def log_normaliser(self, lo: int, hi: int, step: int = 512) -> np.ndarray:
         """ln of the sum over all rows, for groups lo to hi one before and every group two before."""
-        z = np.zeros((hi - lo, _GROUPS + 1), np.float32)
+        near, far = self.context[lo:hi] * self.scale[0], self.context * self.scale[1]
+        z = np.zeros((hi - lo, len(far)), np.float32)
+        # buffers that are used again: their pages stay in place
+        one, two, more = np.empty((hi - lo, step), np.float32), np.empty((len(far), step), np.float32), np.empty_like(z)
         for a in range(0, len(self.bias), step):
-            q = self.target[a : a + step].T
-            z += np.exp((self.context[lo:hi] * self.scale[0]) @ q + self.bias[a : a + step]) @ np.exp((self.context * self.scale[1]) @ q).T
+            q, n = self.target[a : a + step].T, min(step, len(self.bias) - a)
+            one[:, :n], two[:, :n] = near @ q + self.bias[a : a + step], far @ q
+            np.exp(one[:, :n], out=one[:, :n])
+            np.exp(two[:, :n], out=two[:, :n])
+            z += np.matmul(one[:, :n], two[:, :n].T, out=more)
         return np.log(z)
 
 
@@ -304,7 +310,7 @@ def train(texts: DataFrame, vocabulary: Broadcast, id_col: str = "doc_id", text_
     return model
 
 
-def log_normalisers(spark: SparkSession, model: Broadcast, block: int = 64) -> np.ndarray:
+def log_normalisers(spark: SparkSession, model: Broadcast, block: int = 256) -> np.ndarray:
     """ln of the normaliser of every pair of groups, computed in blocks over the executors."""
     n = _GROUPS + 1
 
