@@ -45,6 +45,7 @@ from .textbytes import SPACE, blocks, row_sums, words
 ROWS, MIN_COUNT = 1 << 16, 8
 CONTEXTS, TAILS = 1792, 256
 HEAD = 1 << 18
+HELD = 1 << 19  # different tokens a task holds, some 16 MB
 DIM = 16
 BATCH = 4096
 NOISE, SHARED = 8, 32
@@ -61,41 +62,38 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         w = words(data, offsets, ~SPACE)
         last = w.data[w.end - 1].astype(np.int64) if len(w.end) else np.zeros(0, np.int64)
         prior = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0) if len(w.end) else last
-        tail = (last * 31 + prior) % TAILS
+        tail = ((last * 31 + prior) % TAILS).astype(np.int32)
         yield np.insert(w.hashes(), w.first[1:], END), np.insert(tail, w.first[1:], 0), w.first + np.arange(len(w.first))
 
 
+def _distinct(h: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(h)
+    h = h[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[start], tail[order[start]], np.add.reduceat(n[order], start)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    size = 0
+    """Counts of a task, given away whenever more than ``HELD`` different tokens are at hand."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def out() -> pa.RecordBatch:
-        h = np.concatenate([x[0] for x in held])
-        t = np.concatenate([x[1] for x in held])
-        keys, at, back = np.unique(h, return_index=True, return_inverse=True)
-        n = np.bincount(back, weights=np.concatenate([x[2] for x in held])).astype(np.int64)
-        return pa.record_batch([keys.view(np.int64), t[at], n], ["h", "tail", "n"])
+    def out(done: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([done[0].view(np.int64), done[1], done[2].astype(np.int64)], ["h", "tail", "n"])
 
     for batch in batches:
         for h, t, _ in _tokens(batch.column(0)):
-            keys, at, n = np.unique(h, return_index=True, return_counts=True)
-            held.append((keys, t[at], n))
-            size += len(keys)
-            if size > 2_000_000:
-                done = out()
-                if done.num_rows > 1_000_000:
-                    yield done
-                    held, size = [], 0
-                else:
-                    held = [(done.column(0).to_numpy().view(np.uint64), done.column(1).to_numpy(), done.column(2).to_numpy())]
-                    size = done.num_rows
+            held.append(_distinct(h, t, np.ones(len(h), np.int32)))
+            if sum(len(x[0]) for x in held) > 2 * HELD:
+                held = [_distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if len(held[0][0]) > HELD:
+                    yield out(held.pop())
     if held:
-        yield out()
+        yield out(_distinct(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
 
 def count_tokens(train: DataFrame, text_col: str = "text") -> DataFrame:
     """(h, tail, n): how often each token occurs in the training texts."""
-    parts = train.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(_count, "h bigint, tail bigint, n bigint")
+    parts = train.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(_count, "h bigint, tail int, n bigint")
     return materialise(parts.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "counts")
 
 
