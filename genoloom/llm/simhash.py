@@ -1,15 +1,18 @@
-"""SimHash near-duplicates, found by an inverted index over positional bytes.
+"""SimHash near-duplicates, found by an inverted index over positional bytes with count filtering.
 
 A fingerprint has 64 bits; a bit is set where it is set in over half of the hashes of the text's
-word shingles. Two fingerprints link at ``MAX_BITS`` = 3 or fewer differing bits, so that at least
-5 of their 8 bytes are equal in place: the guaranteed minimum of the count filter. Postings of
-single bytes would hold a 256th of all rows each, so a posting is keyed by four positions and
-their bytes, over a set of such keys chosen so that any five equal bytes contain one of them. For
-each pair of a posting the shared positional bytes are tallied, pairs with fewer than 5 go, and
-the rest are verified on all bits. A pair is judged only under the first key it shares.
-
-Equal fingerprints are one node, so a group of copies is one posting row however large it is.
-Postings longer than ``LIST`` nodes are dealt into blocks, compared block by block in different
+word shingles. Two fingerprints link at ``MAX_BITS`` = 3 or fewer differing bits, so at least
+5 of their 8 bytes are equal in place: the guaranteed minimum of the count filter.
+
+The index lists, for a position and a byte, the fingerprints that have this byte there. A single list
+holds a 256th of all rows, so the index is cut into parts that lose no pair: the positions form two
+halves of four, any 5 of the 8 leave 3 within one half, and a part holds the fingerprints that
+agree in 3 given positions of a half. Within its part a pair has 3 shared bytes to begin with; the posting
+lists of the 5 other positions are walked and every pair of a list is tallied once more. Pairs below
+5 go, the rest are verified on all bits. A pair is judged only in the first part it shares.
+
+Equal fingerprints are one node, so a group of copies is one entry however large it is.
+Parts of more than ``LIST`` nodes are dealt into blocks, compared block by block in different
 tasks. No task returns pairs: it returns a spanning forest of its links, fewer than its nodes,
 and components over these forests lose no link.
 
@@ -35,24 +38,14 @@ from .textbytes import buffers
 
 BITS, BYTES, MAX_BITS = 64, 8, 3
 MIN_SHARED = BYTES - MAX_BITS
-KEY_BYTES = 4
+KEY_BYTES = 3
 LIST = 2048
 SEED = 42
 SHINGLE = 3
 
 
-def _keys() -> list[tuple[int, ...]]:
-    """Greedily, sets of KEY_BYTES positions so that any MIN_SHARED positions contain one."""
-    left = set(combinations(range(BYTES), MIN_SHARED))
-    keys = []
-    while left:
-        best = max(combinations(range(BYTES), KEY_BYTES), key=lambda k: sum(set(k) <= set(x) for x in left))
-        keys.append(best)
-        left = {x for x in left if not set(best) <= set(x)}
-    return keys
-
-
-KEYS = _keys()
+#: positions that a part agrees in: three of either half; any MIN_SHARED positions contain one of these
+KEYS = [key for half in (range(4), range(4, BYTES)) for key in combinations(half, KEY_BYTES)]
 _BYTE = [0xFF << (8 * i) for i in range(BYTES)]
 _MASKS = [sum(_BYTE[i] for i in key) for key in KEYS]
 #: by the set of equal bytes: the first key within it, or -1 below the guaranteed minimum
@@ -90,29 +83,39 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return simhash(text.cast("string"))
 
 
+def _tally(columns: np.ndarray, key: int) -> np.ndarray:
+    """Shared positional bytes of each pair of a part, from the posting lists of its other positions."""
+    n = len(columns)
+    shared = np.full((n, n), KEY_BYTES, np.uint8)
+    for position in set(range(BYTES)) - set(KEYS[key]):
+        order = np.argsort(columns[:, position], kind="stable")
+        values = columns[order, position]
+        for posting in np.split(order, np.flatnonzero(values[1:] != values[:-1]) + 1):
+            if len(posting) > 1:
+                shared[np.ix_(posting, posting)] += 1
+    return shared
+
+
 def _forest(nodes: np.ndarray, side: np.ndarray, key: int) -> list[tuple[int, int]]:
-    """Links that span what the pairs of this posting link; in a block of two sides, across them."""
-    bits = nodes.view(np.uint64)
-    todo = np.ones(len(nodes), bool)
+    """Links that span what the pairs of this part link; in a block of two sides, across them."""
+    columns = np.ascontiguousarray(nodes).view(np.uint8).reshape(-1, BYTES)
+    bits = np.ascontiguousarray(nodes).view(np.uint64)
+    enough = _tally(columns, key) >= MIN_SHARED
+    root = np.arange(len(nodes))
     edges: list[tuple[int, int]] = []
-    for seed in range(len(nodes)):
-        if not todo[seed]:
-            continue
-        todo[seed] = False
-        queue = [seed]
-        while queue:
-            at = queue.pop()
-            rest = np.flatnonzero(todo & (side != side[at]) if side[at] else todo)
-            if not len(rest):
-                continue
-            differ = bits[rest] ^ bits[at]
-            close = np.flatnonzero(np.bitwise_count(differ) <= MAX_BITS)
-            rest, differ = rest[close], differ[close]
-            shared = np.packbits((differ[:, None].view(np.uint8).reshape(-1, BYTES) == 0), axis=1, bitorder="little")[:, 0]
-            near = rest[_FIRST[shared] == key].tolist()
-            todo[near] = False
-            queue += near
-            edges += [(int(nodes[at]), int(nodes[x])) for x in near]
+    for at in np.flatnonzero(enough.sum(axis=1) > 1).tolist():
+        near = np.flatnonzero(enough[at, at + 1 :]) + at + 1
+        if side[at]:
+            near = near[side[near] != side[at]]
+        near = near[root[near] != root[at]]
+        differ = bits[near] ^ bits[at]
+        near = near[np.bitwise_count(differ) <= MAX_BITS]
+        equal = np.packbits(columns[near] == columns[at], axis=1, bitorder="little").ravel()
+        near = near[_FIRST[equal] == key]
+        if len(near):
+            joined, first = np.unique(root[near], return_index=True)
+            edges += [(int(nodes[at]), int(nodes[x])) for x in near[first]]
+            root[np.isin(root, joined)] = root[at]
     return edges
 
 

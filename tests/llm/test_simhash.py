@@ -63,6 +63,15 @@ def test_keys_cover_every_choice_of_equal_bytes():
     assert all(S._FIRST[m] >= 0 for m in range(256) if m.bit_count() >= S.MIN_SHARED)
 
 
+@pytest.mark.parametrize("key", range(len(S.KEYS)))
+def test_tally_counts_shared_bytes_and_filters(key):
+    rng = np.random.default_rng(key)
+    columns = rng.integers(0, 4, (70, 8)).astype(np.uint8)
+    columns[:, S.KEYS[key]] = 9
+    want = (columns[:, None] == columns[None]).sum(axis=2)
+    assert (S._tally(columns, key) == want).all() and (want < S.MIN_SHARED).any() and (want > S.MIN_SHARED).any()
+
+
 @pytest.mark.parametrize("size", [2, 16, 5000])
 def test_blocks_of_long_lists_lose_no_link(spark, monkeypatch, size):
     monkeypatch.setattr(S, "LIST", size)
