@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("u", "v").where("u <> v").distinct(), "links")
     before = None
     while True:
-        edges = materialise(_small_star(_large_star(edges)), "stars")
+        edges = materialise(_small_star(_large_star(edges)), "stars", drop=edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

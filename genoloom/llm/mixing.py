@@ -69,6 +69,7 @@ def newton(cells: DataFrame, families: list[list[str]], cap: int = CAP, steps: i
     out = cells.withColumns({f"__m_{i}": F.lit(0.0) for i in range(len(families))})
     rate = F.least(F.lit(float(cap)), F.exp(sum((F.col(f"__m_{i}") for i in range(1, len(families))), F.col("__m_0"))))
     tokens = F.col("size") * rate
+    written = None
     for _ in range(0, steps, ROUND):
         for _ in range(ROUND):
             for i, family in enumerate(families):
@@ -78,7 +79,8 @@ def newton(cells: DataFrame, families: list[list[str]], cap: int = CAP, steps: i
                 # far from the target a whole step overshoots: steps of 1 keep the descent
                 step = F.when(bend > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / bend))).when(gap < 0, F.lit(-1.0)).otherwise(0.0)
                 out = out.withColumn(f"__m_{i}", F.col(f"__m_{i}") + step)
-        out = materialise(out, "newton")
+        written = materialise(out, "newton", drop=written)
+        out = written
         off = [F.abs(F.col(f"target_{i}") - F.sum(tokens).over(Window.partitionBy(*family))) / F.greatest(F.col(f"target_{i}"), F.lit(1.0)) for i, family in enumerate(families)]
         worst = out.select(F.greatest(*off, F.lit(0.0)).alias("off")).agg(F.max("off")).first()[0]
         if worst is None or worst < CLOSE:

@@ -37,7 +37,8 @@ BINS = 1 << BIN_BITS
 ROUNDS = 64
 POINTS = 14 * BINS  # a signature then lacks k-mers in one of a thousand texts
 RANGE_ROWS = 4096
-FAN = 128  # ranges are found in two steps of at most so many bounds
+FAN = 256  # ranges are found in two steps of at most so many bounds
+SAMPLED = 16  # ids looked at for each range
 _AT_BITS = 30  # a text has fewer than 2^30 words
 _AT = (1 << _AT_BITS) - 1
 
@@ -186,18 +187,24 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _range_of(id_: Column, docs: DataFrame, id_name: str) -> Column:
-    """The range an id falls into, of about RANGE_ROWS rows each; -1 for null."""
+    """The range an id falls into, of about RANGE_ROWS rows each; -1 for null.
+
+    Bounds are taken from ids chosen by hash, so ids may be of any type that has an order. Beyond FAN
+    x FAN ranges each holds more rows, which are sorted with spilling.
+    """
     n = docs.count()
     parts = max(1, min(FAN * FAN, -(-n // RANGE_ROWS)))
     if parts == 1:
         return F.when(id_.isNull(), -1).otherwise(0)
-    bounds = docs.agg(F.percentile_approx(id_name, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
+    kind = docs.schema[id_name].dataType.simpleString()
+    chosen = docs.where(F.pmod(F.xxhash64(id_name), F.lit(max(1, n // (SAMPLED * parts)))) == 0).where(F.col(id_name).isNotNull()).select(id_name).distinct()
+    seen = [r[0] for r in chosen.orderBy(id_name).collect()]
+    bounds = list(dict.fromkeys(seen[i * len(seen) // parts] for i in range(1, parts))) if seen else []
     coarse = bounds[FAN - 1 :: FAN]
     fine = [bounds[i : i + FAN - 1] for i in range(0, len(bounds), FAN)] or [[]]
     fine += [[]] * (len(coarse) + 1 - len(fine))
     below = lambda array: F.size(F.filter(array, lambda b: b <= id_))
-    literal = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.expr("cast(array() as array<bigint>)")
+    literal = lambda xs: F.array(*[F.lit(x).cast(kind) for x in xs]) if xs else F.expr(f"cast(array() as array<{kind}>)")
     first = below(literal(coarse))
     within = below(F.element_at(F.array(*[literal(x) for x in fine]), first + 1))
     return F.when(id_.isNull(), -1).otherwise(first * FAN + within)
@@ -205,7 +212,7 @@ def _range_of(id_: Column, docs: DataFrame, id_name: str) -> Column:
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, sig, next_text, next_sig): each row with the next in ascending order of the ids."""
-    light = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    light = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = light.withColumn("range", _range_of(F.col("id"), light.select("id"), "id")).withColumn("sig", order_signatures(F.col("text")))
     # the first row of every range: few, found by their ids
     least = rows.groupBy("range").agg(F.min("id").alias("first_id"))

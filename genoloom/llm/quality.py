@@ -3,15 +3,15 @@
 Every word and every 3- and 4-byte gram within a word is hashed to a row of a table of learned
 vectors; a document is the mean of its rows, and softmax over two outputs gives the probability
 of label 1. Both layers are trained together by stochastic gradient descent in numpy, over a
-bounded sample of labelled rows: the ``MAX_TRAIN`` rows with the smallest hash of the id among
-all that may be learned from. Scoring covers every row and whole texts. Since mean and output
+bounded sample of labelled rows: the rows with the smallest hash of the id among all that may be
+learned from, ``MAX_TRAIN`` of them and ``MAX_TRAIN_BYTES`` of text at most, each text whole. Scoring covers every row and whole texts. Since mean and output
 are linear, a trained model is kept as one number per table row (its vector times the difference
 of the outputs), so scoring a document is a sum over its grams. A word equal to the word before it counts as one more gram, the same
 for all words, and ``PRIOR`` empty grams draw short texts towards the bias.
 
 Only the text is an input of a score. Null texts count as empty; a text without grams gets the
 score of the bias alone. Labelled rows without a text, a label or an id are not learned from;
-equal rows count as often as they occur. Without rows of both labels every score is the share of
+rows equal in id, label and text are learned from once. Without rows of both labels every score is the share of
 label 1 (0.5 with no row). Other columns pass untouched.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .textbytes import SPACE, Words, blocks, row_sums, words
 
-MAX_TRAIN = 8192
+MAX_TRAIN, MAX_TRAIN_BYTES = 8192, 1 << 26
 BUCKETS = 1 << 16
 DIM = 8
 EPOCHS = 4
@@ -139,26 +139,36 @@ def learnable(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
     """A model of the sample; only that many rows, and of each its hashed grams, reach the driver."""
-    known = labels.where(learnable(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("__id"), "__id", "label").limit(max_train)
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession
+    known = labels.where(learnable(F.col(f"`{id_col}`")) & F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("label")).distinct()
+    known = known.orderBy(F.xxhash64("__id"), "__id", "label").limit(max_train)
+    texts = docs.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    # first which rows: an id may recur in the documents, and texts may be long
+    light = texts.join(F.broadcast(known), "__id").select("__id", "label", "hash", F.octet_length("text").alias("bytes")).distinct()
+    rows, left = [], max_bytes
+    for r in light.orderBy(F.xxhash64("__id"), "__id", "label", "hash").limit(max_train).collect():
+        left -= r["bytes"]
+        if rows and left < 0:
+            break
+        rows.append((r["__id"], r["label"], r["hash"]))
+    if not rows:
+        return sgd([], np.zeros(0, np.int64))
+    chosen = spark.createDataFrame(rows, light.select("__id", "label", "hash").schema)
     kind = "struct<ids:array<int>,parts:array<float>>"
 
     def hashed(column: pa.Array) -> pa.Array:
         return pa.array([{"ids": a, "parts": b} for a, b in features(column)], pa.struct([("ids", pa.list_(pa.int32())), ("parts", pa.list_(pa.float32()))]))
 
-    joined = texts.join(F.broadcast(sample), "__id").select("__id", "label", arrow_udf(hashed, kind)("text").alias("f"))
-    found = joined.toArrow().combine_chunks()
-    if not found.num_rows:
-        return sgd([], np.zeros(0, np.int64))
+    sample = texts.join(F.broadcast(chosen), ["__id", "hash"]).dropDuplicates(["__id", "hash", "label"])
+    found = sample.select("__id", "label", "hash", arrow_udf(hashed, kind)("text").alias("f")).toArrow().combine_chunks()
     label = found["label"].to_numpy().astype(np.int64)
     ids, parts = (found["f"].combine_chunks().field(k) if isinstance(found["f"], pa.ChunkedArray) else found["f"].field(k) for k in ("ids", "parts"))
-    rows = [(ids[i].values.to_numpy(), parts[i].values.to_numpy()) for i in range(len(label))]
     # the order in which rows arrive is no part of the model
-    order = sorted(range(len(rows)), key=lambda i: (str(found["__id"][i]), label[i], len(rows[i][0]), rows[i][0][:64].tobytes()))
-    return sgd([rows[i] for i in order], label[order])
+    key = list(zip(map(str, found["__id"].to_pylist()), label.tolist(), found["hash"].to_pylist(), strict=True))
+    order = sorted(range(len(key)), key=key.__getitem__)
+    return sgd([(ids[i].values.to_numpy(), parts[i].values.to_numpy()) for i in order], label[order])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", result: str = "score") -> DataFrame:

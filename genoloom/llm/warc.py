@@ -62,7 +62,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.regexp_replace(F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("urn:none")), r"[\s\p{Cntrl}]", "%20").alias("uri"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.max("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first_id", F.lit(True).alias("same"))
-    # only payloads that recur; the pages themselves are not shuffled while these are few
+    # only payloads that recur; the pages themselves are not shuffled while these are few. Written first:
+    # beyond that the join meets two plain exchanges, and the rows of a hot payload can be split
+    large = materialise(large, "payloads")
     few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(large) if few else large, rows["digest"] == F.col("d"), "left")
     revisit = F.coalesce(F.col("same"), F.lit(False)) & ~F.col("id").eqNullSafe(F.col("first_id"))
@@ -167,7 +169,10 @@ def assemble(records: DataFrame) -> DataFrame:
 def resolve(captures: DataFrame) -> DataFrame:
     """Captures with ``capture_id`` and, for revisits, ``refers_to_id``: the id of the response."""
     named = captures.withColumn("capture_id", F.col("metadata.fields").getItem("captureid"))
+    wanted = named.where("type = 'revisit'").select(F.col("response.refers_to").alias("of")).distinct()
     target = named.where("type = 'response'").select(F.col("record_id").alias("of"), F.col("capture_id").alias("refers_to_id")).dropDuplicates(["of"])
+    # written first: the join then meets two plain exchanges, and the revisits of a hot payload can be split
+    target = materialise(target.join(wanted, "of", "left_semi"), "targets")
     revisits = named.where("type = 'revisit'").join(target, F.col("response.refers_to") == F.col("of"), "left").drop("of")
     return named.where("type = 'response'").withColumn("refers_to_id", F.lit(None).cast("string")).unionByName(revisits)
 
