@@ -171,10 +171,71 @@ def test_secret_scan_reads_names_and_keys_without_a_word(spark):
     rows += [(100 + i, t) for i, t in enumerate(keys)] + [(200 + i, t) for i, t in enumerate(others)]
     found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = {r["doc_id"]: (r["is_secret"], r["score"]) for r in found if r["doc_id"] >= 100}
-    print(got)
     assert all(got[100 + i][0] for i in range(len(keys))) and not any(got[200 + i][0] for i in range(len(others)))
 
 
+def test_secret_scan_of_short_values(spark):
+    rng = random.Random(8)
+    rows = [(i, clean(rng, 60)) for i in range(40)]
+    rows += [(100, "password = 'S3cr3t!pass' of"), (101, "the hand DB_PASSWORD=Qx7Lw2pz tree"), (200, "title = 'riversun' of"), (201, "mail river.sun7@mail.example.com to"), (202, "the hand of riversun7 tree")]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["candidate"], r["is_secret"], r["score"]) for r in found if r["doc_id"] >= 100}
+    assert got[100][:2] == ("S3cr3t!pass", True) and got[101][:2] == ("DB_PASSWORD=Qx7Lw2pz", True)
+    assert got[200][:2] == ("riversun", False) and not got[201][1] and got[202][:2] == ("riversun7", False)
+
+
+def test_secret_scan_keeps_columns_of_any_name(spark):
+    names = ["path", "nth", "start", "score", "f", "row", "doc", "x", "known", "half", "a.b", "skip"]
+    docs = spark.createDataFrame([(1, f'token = "{KEY}"', *["mine"] * len(names))], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    docs = docs.unionByName(docs)
+    found = secret_scan.scan(docs, path_col="path")
+    assert sorted(found.columns) == sorted(["doc_id", *(n for n in names if n not in secret_scan.RESULTS), *secret_scan.RESULTS])
+    rows = found.collect()
+    assert len(rows) == 2 and all(r["a.b"] == r["f"] == r["row"] == r["path"] == "mine" and r["candidate"] == KEY and r["start"] == 9 for r in rows)
+
+
+def test_forest_equals_one_written_out(spark):
+    """Features and the walk through the trees, in Python, for candidates of many kinds."""
+    import re
+
+    rng = random.Random(2)
+    rows = [(i, clean(rng, 40)) for i in range(30)] + [(100, f"API_KEY={KEY} x"), (101, f"commit {KEY} of"), (102, "riverHandAndTheSunTree river"), (103, "a/b_c.d-e=f/g_h.i-j zz"), (104, "title = 'q!w§e%r' end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("p", F.lit("src/tests_of/a.py"))
+    words = secret_scan.Dictionary(docs)
+    forest = secret_scan.grow(secret_scan.made_findings(spark, words.top, 600), words, trees=4)
+    known_words = {r["w"] for r in words.counts.collect()}
+    runs = lambda t: [w for w in re.split("[^a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", t).lower()) if w]
+
+    def brute(r):
+        named = re.match(secret_scan.NAMED, r["candidate"])
+        name, c = named.group(1) if named else "", re.sub(secret_scan.NAMED, "", r["candidate"])
+        turns = lambda a, b: len(re.findall(f"(?<=[{a}])(?=[{b}])|(?<=[{b}])(?=[{a}])", c)) / max(1, len(c) - 1)
+        letters = re.sub("[^A-Za-z]+", " ", c).lower()
+        covered = letters
+        for w in sorted(words.top, key=lambda w: (-len(w), w)):
+            covered = covered.replace(w, "#")
+        count = lambda t: len(re.sub("[^a-z]", "", t))
+        inside = [w for w in dict.fromkeys(runs(c)) if len(w) >= 3]
+        before, after = (t if len(t) < secret_scan.CONTEXT else re.sub(cut, "", t) for t, cut in ((r["before"], "^[A-Za-z]+"), (r["after"], "[A-Za-z]+$")))
+        places = {"before": runs(before + " " + name)[::-1][:4], "after": runs(after)[:4], "inside": inside, "path": list(dict.fromkeys(runs(r["path"])))}
+        f = {
+            "length": min(len(c), 200), "digit_turns": turns("0-9", "A-Za-z"), "case_turns": turns("a-z", "A-Z"), "sign_turns": turns(r"+/_=.\-", "A-Za-z0-9"),
+            "vowel_turns": turns("aeiouAEIOU", "b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z"), "digits": sum(x in "0123456789" for x in c) / len(c),
+            "coverage": (count(letters) - count(covered)) / count(letters) if count(letters) else 0.0, "known": sum(len(w) for w in inside if w in known_words) / max(1, sum(map(len, inside))),
+            "distinct": len(set(c)) / len(c), "assigned": int(bool(name) or bool(re.search("[=:]\\s*[\"'`]?$", r["before"]))), "quoted": int(r["before"][-1:] in "\"'`" and r["after"][:1] in "\"'`" and r["before"] != "" and r["after"] != ""),
+            **{f"{p}_odds": sum(forest.odds.of[p].get(w, 0.0) for w in ws) for p, ws in places.items()},
+        }
+
+        def walk(t):
+            return t if isinstance(t, float) else walk(t[2] if f[t[0]] <= t[1] else t[3])
+
+        return sum(map(walk, forest.trees)) / len(forest.trees)
+
+    told, _ = secret_scan._candidates(docs, "text", "p")
+    told = words.look_up(told).withColumn("f", secret_scan.features(words.shapes(), {p: forest.odds.feature(p) for p in secret_scan.PLACES})).withColumn("score", forest.score()).collect()
+    assert len(told) >= 5 and all(math.isclose(brute(r), r["score"], rel_tol=1e-9) for r in told), [(r["candidate"], brute(r), r["score"]) for r in told]
+
+
 def test_secret_scan_without_both_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secret_scan.scan(none).count() == 0
