@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,14 @@ def canonical(chrom: Column) -> Column:
     return F.when(number != "", refseq).otherwise(F.coalesce(known, chrom))
 
 
+def canonical_name(name: str) -> str:
+    """The same as ``canonical`` for one name on the driver."""
+    if m := re.match(r"^NC_0*(\d+)\.\d+$", name):
+        return {"23": "X", "24": "Y", "12920": "MT"}.get(m[1], m[1])
+    plain = name.lower().removeprefix("chr")
+    return "MT" if plain in ("m", "mt") else plain.upper() if re.match(r"^(\d+|x|y)$", plain) else name
+
+
 def is_primary_human(chrom: Column) -> Column:
     return canonical(chrom).isin(*PRIMARY, "MT")
 

@@ -147,8 +147,30 @@ def copy_logratio(somatic: str, germline: str, somatic_total: float = 1.0, germl
     return step
 
 
-def _spans(vcf: Vcf, extend: int = 0) -> DataFrame:
-    return vcf.records.select("rec_idx", C.canonical(F.col("chrom")).alias("vc"), (F.col("pos") - 1 - extend).alias("vs"), (reference_end() + extend).alias("ve"), "ref", "alts")
+COORDINATES = ("__chrom", "__pos", "__end")
+
+
+def at_coordinates(vcf: Vcf, chrom: str | None = None, pos: str | None = None, end: str | None = None) -> Vcf:
+    """Records that annotators of spans look up by INFO values instead of their own place, where these are there."""
+    value = lambda key, kind: F.try_element_at(F.split(info(key), ","), F.lit(1)).try_cast(kind)
+    start = F.coalesce(value(pos, "int"), F.col("pos")) if pos else F.col("pos")
+    # a position of its own ends there unless an end is given
+    last = F.when(start == F.col("pos"), reference_end()).otherwise(start)
+    new = (F.coalesce(info(chrom), F.col("chrom")) if chrom else F.col("chrom"), start, F.coalesce(value(end, "int"), last) if end else last)
+    return Vcf(vcf.header, vcf.records.withColumns(dict(zip(COORDINATES, new, strict=True))))
+
+
+def own_coordinates(vcf: Vcf) -> Vcf:
+    return Vcf(vcf.header, vcf.records.drop(*COORDINATES))
+
+
+def _named(chrom: Column, convert: bool) -> Column:
+    return C.canonical(chrom) if convert else chrom
+
+
+def _spans(vcf: Vcf, extend: int = 0, convert: bool = True) -> DataFrame:
+    chrom, pos, end = (F.col(c) for c in COORDINATES) if "__pos" in vcf.records.columns else (F.col("chrom"), F.col("pos"), reference_end())
+    return vcf.records.select("rec_idx", _named(chrom, convert).alias("vc"), (pos - 1 - extend).alias("vs"), (end + extend).alias("ve"), "ref", "alts")
 
 
 def _joined(vcf: Vcf, found: DataFrame, then: Callable[[Vcf], Vcf]) -> Vcf:
@@ -157,12 +179,15 @@ def _joined(vcf: Vcf, found: DataFrame, then: Callable[[Vcf], Vcf]) -> Vcf:
     return Vcf(out.header, out.records.drop(*found.columns))
 
 
-def bed(key: str, regions: DataFrame, flag: bool = False, numeric: bool = False, sample: str | None = None) -> Step:
-    """Names of the regions (chrom, start, end, name) that overlap; a flag; or a value of one sample."""
+def bed(key: str, regions: DataFrame, flag: bool = False, numeric: bool = False, sample: str | None = None, convert: bool = True) -> Step:
+    """Names of the regions (chrom, start, end, name) that overlap; a flag; or a value of one sample.
+
+    ``convert`` matches contigs across naming schemes.
+    """
 
     def step(vcf: Vcf) -> Vcf:
-        r = regions.select(C.canonical(F.col("chrom")).alias("rc"), "start", "end", F.col("name").alias("rname"))
-        pairs = overlap_join(_spans(vcf), r, ("vc", "vs", "ve"), ("rc", "start", "end"))
+        r = regions.select(_named(F.col("chrom"), convert).alias("rc"), "start", "end", F.col("name").alias("rname"))
+        pairs = overlap_join(_spans(vcf, 0, convert), r, ("vc", "vs", "ve"), ("rc", "start", "end"))
         found = pairs.groupBy(F.col("rec_idx").alias("idx")).agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "rname"))), lambda x: x["rname"])), ",").alias("hit"))
         if sample is not None:
             at = vcf.header.sample_index(sample)
@@ -173,15 +198,15 @@ def bed(key: str, regions: DataFrame, flag: bool = False, numeric: bool = False,
     return step
 
 
-def table(key: str, rows: DataFrame, value: str, alt: str | None = None, ref: str | None = None, mode: str = "collapse", extend: int = 0, numeric: bool = False, sample: str | None = None) -> Step:
+def table(key: str, rows: DataFrame, value: str, alt: str | None = None, ref: str | None = None, mode: str = "collapse", extend: int = 0, numeric: bool = False, sample: str | None = None, convert: bool = True) -> Step:
     """A column of annotation rows (chrom, start, end, …) that overlap, and agree in alleles where asked.
 
     ``mode`` is collapse (all different values), first or max.
     """
 
     def step(vcf: Vcf) -> Vcf:
-        t = rows.select(C.canonical(F.col("chrom")).alias("tc"), F.col("start").alias("ts"), F.col("end").alias("te"), F.col(value).cast("string").alias("tv"), (F.col(alt) if alt else F.lit(None)).alias("ta"), (F.col(ref) if ref else F.lit(None)).alias("tr"))
-        pairs = overlap_join(_spans(vcf, extend), t, ("vc", "vs", "ve"), ("tc", "ts", "te"))
+        t = rows.select(_named(F.col("chrom"), convert).alias("tc"), F.col("start").alias("ts"), F.col("end").alias("te"), F.col(value).cast("string").alias("tv"), (F.col(alt) if alt else F.lit(None)).alias("ta"), (F.col(ref) if ref else F.lit(None)).alias("tr"))
+        pairs = overlap_join(_spans(vcf, extend, convert), t, ("vc", "vs", "ve"), ("tc", "ts", "te"))
         if alt:
             pairs = pairs.where(F.array_contains("alts", F.col("ta")))
         if ref:
@@ -197,14 +222,14 @@ def table(key: str, rows: DataFrame, value: str, alt: str | None = None, ref: st
     return step
 
 
-def from_vcf(key: str, source: Vcf, field: str | None = None, exact: bool = True, passing: bool = False, unique: bool = False) -> Step:
+def from_vcf(key: str, source: Vcf, field: str | None = None, exact: bool = True, passing: bool = False, unique: bool = False, convert: bool = True) -> Step:
     """An INFO value of another file's record of the same alleles; a flag without ``field``; ``@ID`` the ID."""
 
     def step(vcf: Vcf) -> Vcf:
         s = source.records.where(passes()) if passing else source.records
         alts = F.explode("alts") if exact else F.lit(None).cast("string")
-        s = s.select(C.canonical(F.col("chrom")).alias("sc"), F.col("pos").alias("sp"), F.col("ref").alias("sr"), alts.alias("sa"), F.col("id").alias("sid"), (info(field) if field and field != "@ID" else F.lit("1")).alias("sv"), F.col("rec_idx").alias("so"))
-        v = vcf.records.select("rec_idx", C.canonical(F.col("chrom")).alias("vc"), F.col("pos").alias("vp"), F.col("ref").alias("vr"), "alts")
+        s = s.select(_named(F.col("chrom"), convert).alias("sc"), F.col("pos").alias("sp"), F.col("ref").alias("sr"), alts.alias("sa"), F.col("id").alias("sid"), (info(field) if field and field != "@ID" else F.lit("1")).alias("sv"), F.col("rec_idx").alias("so"))
+        v = vcf.records.select("rec_idx", _named(F.col("chrom"), convert).alias("vc"), F.col("pos").alias("vp"), F.col("ref").alias("vr"), "alts")
         on = (F.col("vc") == F.col("sc")) & (F.col("vp") == F.col("sp"))
         if exact:
             v = v.withColumn("va", F.explode("alts"))
@@ -254,15 +279,15 @@ def flanking(contigs: DataFrame, size: int = 1) -> Step:
     return step
 
 
-def genes(features: DataFrame, prefix: str = "", required_tags: tuple[str, ...] = ()) -> Step:
+def genes(features: DataFrame, prefix: str = "", required_tags: tuple[str, ...] = (), convert: bool = True) -> Step:
     """Genes, strands, biotypes and regions of GTF features (chrom, start, end, feature, gene_id, gene_name, biotype, strand, tags)."""
 
     def step(vcf: Vcf) -> Vcf:
         g = features
         for t in required_tags:
             g = g.where(F.array_contains("tags", t))
-        g = g.select(C.canonical(F.col("chrom")).alias("gc"), F.col("start").alias("gs"), F.col("end").alias("ge"), "feature", "gene_id", "gene_name", "biotype", "strand")
-        pairs = overlap_join(_spans(vcf), g, ("vc", "vs", "ve"), ("gc", "gs", "ge"))
+        g = g.select(_named(F.col("chrom"), convert).alias("gc"), F.col("start").alias("gs"), F.col("end").alias("ge"), "feature", "gene_id", "gene_name", "biotype", "strand")
+        pairs = overlap_join(_spans(vcf, 0, convert), g, ("vc", "vs", "ve"), ("gc", "gs", "ge"))
         joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
         has = lambda f: F.max((F.col("feature") == f).cast("int")) == 1
         region = F.when(has("CDS"), "CODING").when(has("five_prime_utr"), "UTR5").when(has("three_prime_utr"), "UTR3").when(has("exon"), "NONCODING").otherwise("INTRON")

@@ -8,23 +8,21 @@ from pyspark.sql import functions as F
 from genoloom.functions import genotype as G
 
 
-def _below(value: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are below a value, by halving."""
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    return F.when(value > bounds[mid], mid + 1 + _below(value, bounds[mid + 1 :])).otherwise(_below(value, bounds[:mid]))
-
-
-def dense_index(records: DataFrame, order: str = "rec_idx", parts: int = 256) -> DataFrame:
-    """Records with ``rec_no``, counted from 0 in their order, range by range of equal shares."""
-    bounds = records.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"]
-    bounds = sorted(set(bounds or []))
-    ranged = records.withColumn("__range", _below(F.col(order), bounds))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``parts`` rows
+RANGE = 1 << 20
+
+
+def _range(order: str, span: int) -> Column:
+    """The range of an order that counts within parts of a file: as many as the file needs."""
+    return F.floor(F.col(order) / span)
+
+
+def dense_index(records: DataFrame, order: str = "rec_idx", span: int = RANGE) -> DataFrame:
+    """Records with ``rec_no``, counted from 0 in their order, range by range."""
+    ranged = records.withColumn("__range", _range(order, span))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy("__range").orderBy(order)
-    return ranged.withColumn("__row", F.row_number().over(within)).join(F.broadcast(starts), "__range").withColumn("rec_no", F.col("__before") + F.col("__row") - 1).drop("__range", "__row", "__before")
+    return ranged.withColumn("__row", F.row_number().over(within)).join(starts, "__range").withColumn("rec_no", F.col("__before") + F.col("__row") - 1).drop("__range", "__row", "__before")
 
 
 def chunks(records: DataFrame, size: int, order: str = "rec_idx") -> DataFrame:
@@ -44,16 +42,26 @@ def field_census(genotypes: DataFrame, min_dp: int, keys: tuple[str, ...] = ("ch
     )
 
 
-def check_sorted(records: DataFrame) -> None:
-    """Raise where a position falls within a contig, or a contig is met again after another."""
-    w = Window.partitionBy("file_no").orderBy("rec_idx") if "file_no" in records.columns else Window.orderBy("rec_idx")
-    seen = records.select("chrom", "pos", F.lag("chrom").over(w).alias("c0"), F.lag("pos").over(w).alias("p0"))
-    bad = seen.where((F.col("chrom") == F.col("c0")) & (F.col("pos") < F.col("p0"))).limit(1).collect()
-    if bad:
-        raise ValueError(f"records are not sorted: {bad[0]['chrom']}:{bad[0]['pos']} follows {bad[0]['p0']}")
-    again = seen.where(F.col("c0").isNull() | (F.col("chrom") != F.col("c0"))).groupBy("chrom").count().where("count > 1").limit(1).collect()
-    if again:
-        raise ValueError(f"records are not sorted: {again[0]['chrom']} is met again after another contig")
+def check_sorted(records: DataFrame, span: int = RANGE) -> None:
+    """Raise where a position falls within a contig, or a contig is met again after another.
+
+    Neighbours are compared within ranges of the order; the first of a range looks at the last record
+    before it, so no task orders a whole file.
+    """
+    part = F.col("file_no") if "file_no" in records.columns else F.lit(0)
+    ranged = records.select(part.alias("part"), "rec_idx", "chrom", "pos", _range("rec_idx", span).alias("range"))
+    ends = ranged.groupBy("part", "range").agg(F.max_by(F.struct("chrom", "pos"), "rec_idx").alias("last"))
+    ends = ends.select(F.col("part").alias("p"), F.col("range").alias("r"), F.lag("last").over(Window.partitionBy("part").orderBy("range")).alias("before"))
+    w = Window.partitionBy("part", "range").orderBy("rec_idx")
+    seen = ranged.withColumn("prior", F.lag(F.struct("chrom", "pos")).over(w)).join(ends, (F.col("part") == F.col("p")) & (F.col("range") == F.col("r")))
+    seen = seen.select("chrom", "pos", F.coalesce("prior", "before").alias("prior"))
+    falls = (F.col("chrom") == F.col("prior.chrom")) & (F.col("pos") < F.col("prior.pos"))
+    starts = F.col("prior").isNull() | (F.col("chrom") != F.col("prior.chrom"))
+    told = seen.groupBy("chrom").agg(F.min(F.when(falls, F.struct("pos", F.col("prior.pos").alias("after")))).alias("bad"), F.count_if(starts).alias("starts"))
+    for r in told.where("bad is not null or starts > 1").orderBy(F.col("bad").isNull()).limit(1).collect():
+        if r["bad"]:
+            raise ValueError(f"records are not sorted: {r['chrom']}:{r['bad']['pos']} follows {r['bad']['after']}")
+        raise ValueError(f"records are not sorted: {r['chrom']} is met again after another contig")
 
 
 def concat(parts: list[DataFrame], contigs: list[str]) -> DataFrame:

@@ -66,11 +66,11 @@ def decorate(result: DataFrame, a: DataFrame, b: DataFrame, stranded: bool = Tru
         name = F.lit(label) if label else F.coalesce("name", F.lit(""))
         parts.append(df.select(F.col("chrom").alias("s_chrom"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), (F.col("strand") if stranded else F.lit("+")).alias("s_strand"), F.lit(n).alias("s_set"), name.alias("s_name"), F.coalesce("score", F.lit(0.0)).cast("double").alias("s_score")))
     source = parts[0].unionByName(parts[1])
-    keyed = result.withColumn("__id", F.monotonically_increasing_id())
+    keyed = result
     if not stranded:
         keyed = keyed.withColumn("strand", F.lit("+"))
     pairs = overlap_join(keyed, source, ("chrom", "start", "end"), ("s_chrom", "s_start", "s_end")).where(F.col("strand") == F.col("s_strand"))
     items = F.array_sort(F.collect_list(F.struct("s_set", "s_start", "s_end", "s_name")))
     names = F.filter(F.array_distinct(F.transform(items, lambda x: x["s_name"])), lambda x: x != "")
     value = {"zero": F.lit(0.0), "sum": F.sum("s_score"), "count": F.count(F.lit(1)).cast("double")}[score]
-    return pairs.groupBy("__id", "chrom", "start", "end", "strand").agg(F.array_join(names, delim).alias("name"), value.alias("score")).select("chrom", "start", "end", "name", "score", "strand")
+    return pairs.groupBy("chrom", "start", "end", "strand").agg(F.array_join(names, delim).alias("name"), value.alias("score")).select("chrom", "start", "end", "name", "score", "strand")

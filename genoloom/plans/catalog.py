@@ -13,6 +13,7 @@ from genoloom.functions import sequence as S
 from genoloom.functions import variant as V
 from genoloom.operators import combine, filters, genotypes, interval_sets, intervals, range_join, reads, runs, stats
 
+from . import from_files
 from . import records as record_plans
 from .views import sql, view
 
@@ -96,14 +97,14 @@ def hom_ref_reconstruction(spark, d):
     return genotypes.hom_ref(sites, runs.callable_runs(g, MIN_DP, BANDS), _carried(spark, d))
 
 
-@_query(f"""select chrom, pos, ref, alt, sample_id, case when {_AC} > 0 then 'carrier' else 'non_carrier' end as state
-    from g_geno where {_AC} > 0 or (gt = '0/0' and dp >= {MIN_DP})""", ("g_geno",))
+@_query(f"""select s.chrom, s.pos, s.ref, s.alt, x.sample_id, case when {_AC} > 0 then 'carrier' when gt = '0/0' and dp >= {MIN_DP} then 'non_carrier' else 'not_assayed' end as state
+    from (select * from g_sites where filt <> 'PASS') s cross join (select concat('S', cast(s_suppkey as varchar)) as sample_id from supplier) x
+    left join g_geno g on g.rec_id = s.rec_id and g.sample_id = x.sample_id""", ("g_sites", "g_geno"))
 def observed_states(spark, d):
-    g = view(spark, d, "g_geno")
-    sites = g.select("chrom", "pos", "ref", "alt").distinct()
-    carried = _carried(spark, d)
-    non = genotypes.hom_ref(sites, runs.callable_runs(g, MIN_DP), carried).withColumn("state", F.lit("non_carrier"))
-    return carried.withColumn("state", F.lit("carrier")).select(*non.drop("gt").columns).unionByName(non.drop("gt"))
+    """Every sample at the loci that a filter marks."""
+    g, sites = view(spark, d, "g_geno"), view(spark, d, "g_sites")
+    roster = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sample_id"))
+    return genotypes.classify(sites.where("filt <> 'PASS'"), roster, sites.select(*genotypes.LOCUS), runs.callable_runs(g, MIN_DP), _carried(spark, d))
 
 
 @_query(f"""select chrom, pos, ref, alt, sample_id, gt, dp from g_geno where {_AC} > 0 and coalesce(dp >= 20, true)""", ("g_geno",))
@@ -201,11 +202,6 @@ def transition_counts(spark, d):
     return s.groupBy("chrom", V.tstv(ref, alt).alias("cls")).agg(F.count_if(V.is_transition(ref, alt)).alias("ts"), F.count_if(V.is_transversion(ref, alt)).alias("tv")).select("chrom", "ts", "tv", "cls")
 
 
-@_query("""select chrom, count(*) as sites, min(pos) as first_pos, max(pos) as last_pos from g_sites group by chrom""", ("g_sites",))
-def chromosome_census(spark, d):
-    return view(spark, d, "g_sites").groupBy("chrom").agg(F.count(F.lit(1)).alias("sites"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
-
-
 @_query(f"""select chrom, count(*) as genotypes, count(dp) as with_dp, count(*) filter (where {_AN} = 0) as no_call, count(*) filter (where dp < {MIN_DP}) as below from g_geno group by chrom""", ("g_geno",))
 def field_census(spark, d):
     return combine.field_census(view(spark, d, "g_geno"), MIN_DP)
@@ -336,27 +332,7 @@ def contig_names(spark, d):
     return view(spark, d, "g_sites").select("rec_id", C.to_ensembl(c).alias("ensembl"), C.to_ucsc(C.to_ensembl(c)).alias("ucsc"), C.canonical(c).alias("canonical"))
 
 
-@_query("""select a.rec_id, a.chrom, a.pos, coalesce(b.qual, -1) as other_qual, b.rec_id is not null as known from g_sites a
-    left join (select * from g_sites where filt = 'PASS') b on a.chrom = b.chrom and a.pos = b.pos and a.ref = b.ref and a.alt = b.alt""", ("g_sites",))
-def annotate_from_variants(spark, d):
-    a = view(spark, d, "g_sites")
-    b = a.where("filt = 'PASS'").select("chrom", "pos", "ref", "alt", F.col("qual").alias("oq"), F.lit(True).alias("known"))
-    return a.join(b, ["chrom", "pos", "ref", "alt"], "left").select("rec_id", "chrom", "pos", F.coalesce("oq", F.lit(-1)).alias("other_qual"), F.coalesce("known", F.lit(False)).alias("known"))
-
-
-@_query("""select chrom, pos, ref, alt, cast(sum(a) as bigint) as sources, max(q) as qual from (select chrom, pos, ref, alt, 1 as a, qual as q from g_sites where filt = 'PASS'
-    union all select chrom, pos, ref, alt, 2, qual + 1 from g_sites where qual >= 25) group by all""", ("g_sites",))
-def merged_sources(spark, d):
-    s = view(spark, d, "g_sites")
-    a = s.where("filt = 'PASS'").select("chrom", "pos", "ref", "alt", F.lit(1).alias("a"), F.col("qual").alias("q"))
-    b = s.where("qual >= 25").select("chrom", "pos", "ref", "alt", F.lit(2).alias("a"), (F.col("qual") + 1).alias("q"))
-    return a.unionByName(b).groupBy("chrom", "pos", "ref", "alt").agg(F.sum("a").alias("sources"), F.max("q").alias("qual"))
-
-
-@_query("select name, chrom, start_pos, end_pos, row_number() over (partition by chrom order by start_pos, end_pos, name) as nth from g_bed_a", ("g_bed_a",))
-def tab_sort(spark, d):
-    return intervals.numbered(view(spark, d, "g_bed_a"), "chrom", "start_pos", ["start_pos", "end_pos", "name"])
-
-
 QUERIES.update(record_plans.QUERIES)
 ORACLES.update(record_plans.ORACLES)
+QUERIES.update(from_files.QUERIES)
+ORACLES.update(from_files.ORACLES)

@@ -227,6 +227,11 @@ def text(vcf: Vcf, ordered: bool = True) -> Iterator[str]:
 
 def write(vcf: Vcf, path: str, tbi: bool = False, ordered: bool = True) -> None:
     """Write one local file; ``tbi`` indexes it."""
+    write_text(text(vcf, ordered), path, tbi)
+
+
+def write_text(lines: Iterator[str], path: str, tbi: bool = False) -> None:
+    """Lines of a VCF to one local file; ``tbi`` indexes it."""
 
     def place(x: str):
         if x.startswith("#"):
@@ -236,7 +241,7 @@ def write(vcf: Vcf, path: str, tbi: bool = False, ordered: bool = True) -> None:
         start = int(p[1]) - 1
         return p[0], start, max(start + len(p[3]), int(end[1]) if end else 0)
 
-    files.write_lines(path, text(vcf, ordered), files.Tabix((1, 2, 0), False, preset=2) if tbi else None, place)
+    files.write_lines(path, lines, files.Tabix((1, 2, 0), False, preset=2) if tbi else None, place)
 
 
 def check(vcf: Vcf) -> int:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from genoloom.operators import genotypes, runs
+from genoloom.operators import combine, genotypes, runs
 from genoloom.operators.genotypes import Gate
 from genoloom.sources import store, targets, vcf
 from tests.helpers import path
@@ -82,9 +82,24 @@ def test_panel_of_many_targets_equals_few(spark, coverage):
     assert keys(coverage.query(many)) == [("chr1", 100, "A", "G", "S2", "0/1"), ("chr1", 500, "A", "T", "S1", "0/1")]
 
 
-def test_few_targets_reach_the_scan(coverage):
-    plan = coverage._restrict(coverage.calls, targets.parse(["chr1:150-450"]))._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(pos,450)" in plan and "GreaterThanOrEqual(ref_end,150)" in plan
+def test_few_targets_reach_the_scan(spark, coverage):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = coverage._restrict(coverage.calls, targets.parse(["1:150-450"]))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    # the contig by the name it has in the store, and both bounds
+    assert all(x in pushed for x in ("EqualTo(chrom,chr1)", "LessThanOrEqual(pos,450)", "GreaterThanOrEqual(ref_end,150)")), pushed
+
+
+def test_order_is_checked_across_ranges(spark):
+    rows = lambda xs: spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(xs)], "rec_idx long, chrom string, pos int").repartition(3)
+    good = [("a", p // 2) for p in range(40)] + [("b", p) for p in range(9)]
+    for span in (1, 4, 1000):
+        combine.check_sorted(rows(good), span)
+        for bad, word in ((good[:30] + [("a", 3)] + good[30:], "follows"), ([*good, ("a", 99)], "met again")):
+            with pytest.raises(ValueError, match=word):
+                combine.check_sorted(rows(bad), span)
+        assert [r["rec_no"] for r in combine.dense_index(rows(good).where("rec_idx % 3 <> 0"), span=span).orderBy("rec_idx").collect()] == list(range(32))
 
 
 def test_depth_bands(spark, tmp_path):

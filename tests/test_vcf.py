@@ -84,7 +84,7 @@ def test_export_samples(sample):
 def test_counts(spark, annotated):
     first = export.to_counts(annotated, af=True, total=True).first()
     assert (first["ref_count"], first["alt_count"], first["total_count"]) == (14, 1, 15) and first["alt_freq"] == 1 / 15
-    assert rows(export.to_counts(vcf.read(spark, path("roao.vcf")))) == ["chr1\t100\tA\tG\t18\t7", "chr1\t200\tC\tG\t10\t8", "chr1\t200\tC\tT\t10\t4"]
+    assert rows(export.to_counts(vcf.read(spark, path("roao.vcf")), use_ro_ao=True)) == ["chr1\t100\tA\tG\t18\t7", "chr1\t200\tC\tG\t10\t8", "chr1\t200\tC\tT\t10\t4"]
     with pytest.raises(Exception, match="no allele counts"):
         export.to_counts(vcf.read(spark, path("coverage.vcf"))).collect()
 
