@@ -49,6 +49,22 @@ def test_quality_learns_only_what_it_may(spark, labelled):
     assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
 
 
+def test_quality_sample_is_bounded(spark, labelled):
+    docs, labels, _ = labelled
+    again = docs.unionByName(docs).unionByName(docs)
+    a, b = quality.fit(docs, labels), quality.fit(again, labels.unionByName(labels))
+    assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
+    seen = []
+    real = quality.sgd
+    quality.sgd = lambda rows, *more: seen.append(len(rows)) or real(rows, *more)
+    try:
+        quality.fit(again, labels, max_train=50)
+        quality.fit(again, labels, max_bytes=2000)
+    finally:
+        quality.sgd = real
+    assert seen[0] == 50 and 1 <= seen[1] < 50
+
+
 def test_quality_without_labels(spark, labelled):
     docs, labels, _ = labelled
     for rows, want in ((labels.limit(0), 0.5), (labels.where("quality = 1"), 1.0)):

@@ -4,7 +4,6 @@ import hashlib
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +129,19 @@ def test_archives(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_a_hot_payload(spark, monkeypatch, few):
+    """A third of all pages holds one payload; the joins are those of a large table where few is 0."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
+    rows = [(i, "u", "hot " * 400 if i % 3 == 0 else f"page {i % 40} " * 150) for i in range(240)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    last = {}
+    for i, _, h in rows:
+        last[h] = max(last.get(h, i), i)
+    want = {i: (None if last[h] == i else str(last[h])) for i, _, h in rows}
+    assert {int(r["capture_id"]): r["refers_to_id"] for r in got} == want and len(got) == len(rows)
+
+
 def brute_signatures(spark, texts):
     """Order MinHash written out in Python, with Spark's hashes."""
     import xxhash
@@ -199,6 +211,20 @@ def test_next_document_and_likeness(spark, monkeypatch, rows):
     assert order_minhash.compare_edited(df.limit(0)).count() == 0
 
 
+def test_next_document_of_ids_that_are_text(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "RANGE_ROWS", 8)
+    rng = random.Random(4)
+    docs = [(f"id-{rng.randrange(10**6)}", f"w{i} " * (i % 9)) for i in range(90)] + [("same", "x"), ("same", "y")]
+    df = spark.createDataFrame(docs, "doc_id string, text string").repartition(5)
+    got = sorted((r["doc_id"], r["edited_sha256"]) for r in order_minhash.compare_edited(df).collect())
+    order = sorted(docs)
+    want = []
+    for n, (i, t) in enumerate(order):
+        half = len(t) // 2
+        want.append((i, hashlib.sha256((t[: len(t) - half] + order[(n + 1) % len(order)][1][:half]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_order_matters(spark):
     t = " ".join(f"w{i}" for i in range(100))
     turned = " ".join(t.split()[50:] + t.split()[:50])
@@ -267,12 +293,3 @@ def test_order_counts_in_short_texts(spark, words):
     print(words, np.mean(got))
     # pairs within a quarter keep their order, those of different quarters do not
     assert len(got) == 40 and 0.02 < np.mean(got) < 0.28
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, sf).toPandas()
-    docs = pd.read_parquet(f"{sf}/documents.parquet")
-    assert set(out.doc_id) <= set(docs.doc_id) and {"shard", "slot"} <= set(out.columns) and out.groupby("text").shard.nunique().max() == 1
