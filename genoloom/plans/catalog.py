@@ -39,10 +39,18 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("rec_id", F.col("rec_id").cast("long").alias("rec_idx"), "chrom", "pos", "ref", "alt", F.array("alt").alias("alts"), F.col("qual").cast("double").alias("qual"), F.split("filt", ",").alias("filters"), F.array(F.struct(F.lit("DP").alias("k"), F.col("qual").cast("string").alias("v"))).alias("info"))
 
 
+def _carried_of(g: DataFrame) -> DataFrame:
+    return g.where(G.dosage(F.col("gt")) > 0).withColumn("ref_end", F.col("pos"))
+
+
 def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that carry the alternate."""
-    g = view(spark, sf_dir, "g_geno")
-    return g.where(G.dosage(F.col("gt")) > 0).withColumn("ref_end", F.col("pos"))
+    return _carried_of(view(spark, sf_dir, "g_geno"))
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genotypes, kept for a plan that needs them several times: they are a distinct and a join."""
+    return view(spark, sf_dir, "g_geno").persist()
 
 
 _AC = "list_sum(list_transform(string_split(replace(gt, '|', '/'), '/'), lambda x: case when x = '1' then 1 else 0 end))"
@@ -92,9 +100,9 @@ def callable_runs(spark, d):
 
 @_query(f"select chrom, pos, ref, alt, sample_id, gt from g_geno where gt = '0/0' and dp >= {MIN_DP}", ("g_geno",))
 def hom_ref_reconstruction(spark, d):
-    g = view(spark, d, "g_geno")
-    sites = g.select("chrom", "pos", "ref", "alt").distinct()
-    return genotypes.hom_ref(sites, runs.callable_runs(g, MIN_DP, BANDS), _carried(spark, d))
+    g = _held(spark, d)
+    sites = view(spark, d, "g_sites").select(*genotypes.LOCUS)
+    return genotypes.hom_ref(sites, runs.callable_runs(g, MIN_DP, BANDS), _carried_of(g))
 
 
 @_query(f"""select s.chrom, s.pos, s.ref, s.alt, x.sample_id, case when {_AC} > 0 then 'carrier' when gt = '0/0' and dp >= {MIN_DP} then 'non_carrier' else 'not_assayed' end as state
@@ -102,9 +110,9 @@ def hom_ref_reconstruction(spark, d):
     left join g_geno g on g.rec_id = s.rec_id and g.sample_id = x.sample_id""", ("g_sites", "g_geno"))
 def observed_states(spark, d):
     """Every sample at the loci that a filter marks."""
-    g, sites = view(spark, d, "g_geno"), view(spark, d, "g_sites")
+    g, sites = _held(spark, d), view(spark, d, "g_sites")
     roster = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sample_id"))
-    return genotypes.classify(sites.where("filt <> 'PASS'"), roster, sites.select(*genotypes.LOCUS), runs.callable_runs(g, MIN_DP), _carried(spark, d))
+    return genotypes.classify(sites.where("filt <> 'PASS'"), roster, sites.select(*genotypes.LOCUS), runs.callable_runs(g, MIN_DP), _carried_of(g))
 
 
 @_query(f"""select chrom, pos, ref, alt, sample_id, gt, dp from g_geno where {_AC} > 0 and coalesce(dp >= 20, true)""", ("g_geno",))

@@ -88,10 +88,12 @@ def _rec_file(spark: SparkSession, d: str) -> str:
     return _file(spark, d, "rec.vcf.gz", lambda path: vcf.write(_rec(spark, d), path, tbi=True))
 
 
-def _geno(spark: SparkSession, d: str, test: Column | None = None) -> Vcf:
-    """All genotypes of the view as records with one column per supplier."""
-    names = [f"S{r[0]}" for r in spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").orderBy("s_suppkey").collect()]
+def _geno(spark: SparkSession, d: str, test: Column | None = None, samples: int | None = None) -> Vcf:
+    """All genotypes of the view as records with one column per supplier, or for a benchmark the first ``samples``."""
+    names = [f"S{r[0]}" for r in spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").orderBy("s_suppkey").collect()][:samples]
     g = view(spark, d, "g_geno")
+    if samples:
+        g = g.where(F.col("sample_id").isin(names))
     each = g.groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.array("gt", F.coalesce(F.col("dp").cast("string"), F.lit("."))).alias("v")))).alias("by"))
     sites = view(spark, d, "g_sites").join(each, "rec_id", "left")
     values = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("by", n), F.array(F.lit("./."), F.lit("."))))
