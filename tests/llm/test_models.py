@@ -62,7 +62,7 @@ def test_quality_sample_is_bounded(spark, labelled):
         quality.fit(again, labels, max_bytes=2000)
     finally:
         quality.sgd = real
-    assert seen[0] == 50 and 1 <= seen[1] < 50
+    assert 45 <= seen[0] <= 50 and 1 <= seen[1] < 45  # some labels have no text
 
 
 def test_quality_without_labels(spark, labelled):
