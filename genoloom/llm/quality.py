@@ -17,6 +17,8 @@ label 1 (0.5 with no row). Other columns pass untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -90,9 +92,8 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Table rows of each text and the share of each."""
-    out = []
+def counted(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Table rows of each text, ascending, and how often each is met."""
     for _, data, offsets in blocks(texts):
         w = words(data, offsets, ~SPACE, lower=False)
         of_words, grams, valid = _buckets(data, w)
@@ -100,12 +101,42 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         for i in range(len(offsets) - 1):
             a, b = offsets[i], offsets[i + 1]
             rows = np.concatenate([of_words[w.first[i] : w.first[i + 1]], *(g[a:b][v[a:b]] + BUCKETS for g, v in zip(grams, valid, strict=True)), np.full(again[i], _REPEAT, np.int32)])
-            ids, n = np.unique(rows, return_counts=True)
-            out.append((ids.astype(np.int32), (n / (len(rows) + PRIOR)).astype(np.float32)))
-    return out
+            yield np.unique(rows, return_counts=True)
+
+
+def _shares(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ids.astype(np.int32), (n / (n.sum() + PRIOR)).astype(np.float32)
+
+
+def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Table rows of each text and the share of each."""
+    return [_shares(ids, n) for ids, n in counted(texts)]
+
+
+def pack(ids: np.ndarray, n: np.ndarray) -> bytes:
+    """What ``counted`` gives of a text, in 3 bytes a table row, or more where a count is over 255."""
+    head = np.array([len(ids), np.searchsorted(ids, BUCKETS)], np.uint32)
+    return head.tobytes() + ids.astype(np.uint16).tobytes() + n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()
+
+
+class Packed:
+    """Packed texts as a sequence of features, each unpacked when it is asked for."""
+
+    def __init__(self, texts: list):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(self.texts[i], np.uint8)
+        size, of_words = data[:8].view(np.uint32).tolist()
+        ids, n = data[8 : 8 + 2 * size].view(np.uint16).astype(np.int32), data[8 + 2 * size :]
+        ids[of_words:] += BUCKETS
+        return _shares(ids, n.view(f"u{len(n) // size}").astype(np.int64) if size else n.astype(np.int64))
 
 
-def sgd(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, dim: int = DIM, rate: float = RATE, seed: int = 7) -> Model:
+def sgd(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, dim: int = DIM, rate: float = RATE, seed: int = 7) -> Model:
     """Embeddings and softmax output by stochastic gradient descent, a row at a time."""
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or not len(labels):
@@ -140,7 +171,7 @@ def learnable(id_: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
-    """A model of the sample; only that many rows, and of each its hashed grams, reach the driver."""
+    """A model of the sample; only that many rows, and of each its hashed grams, packed, reach the driver."""
     spark = docs.sparkSession
     known = labels.where(learnable(F.col(f"`{id_col}`")) & F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("label")).distinct()
     known = known.orderBy(F.xxhash64("__id"), "__id", "label").limit(max_train)
@@ -156,19 +187,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not rows:
         return sgd([], np.zeros(0, np.int64))
     chosen = spark.createDataFrame(rows, light.select("__id", "label", "hash").schema)
-    kind = "struct<ids:array<int>,parts:array<float>>"
 
     def hashed(column: pa.Array) -> pa.Array:
-        return pa.array([{"ids": a, "parts": b} for a, b in features(column)], pa.struct([("ids", pa.list_(pa.int32())), ("parts", pa.list_(pa.float32()))]))
+        return pa.array([pack(ids, n) for ids, n in counted(column)], pa.binary())
 
     sample = texts.join(F.broadcast(chosen), ["__id", "hash"]).dropDuplicates(["__id", "hash", "label"])
-    found = sample.select("__id", "label", "hash", arrow_udf(hashed, kind)("text").alias("f")).toArrow().combine_chunks()
+    found = sample.select("__id", "label", "hash", arrow_udf(hashed, "binary")("text").alias("f")).toArrow()
     label = found["label"].to_numpy().astype(np.int64)
-    ids, parts = (found["f"].combine_chunks().field(k) if isinstance(found["f"], pa.ChunkedArray) else found["f"].field(k) for k in ("ids", "parts"))
     # the order in which rows arrive is no part of the model
     key = list(zip(map(str, found["__id"].to_pylist()), label.tolist(), found["hash"].to_pylist(), strict=True))
     order = sorted(range(len(key)), key=key.__getitem__)
-    return sgd([(ids[i].values.to_numpy(), parts[i].values.to_numpy()) for i in order], label[order])
+    packed = [x.as_buffer() for x in found["f"]]
+    model = sgd(Packed([packed[i] for i in order]), label[order])
+    del found, packed
+    pa.default_memory_pool().release_unused()  # else the pool keeps the sample's memory through the stages that follow
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", result: str = "score") -> DataFrame:

@@ -65,6 +65,34 @@ def test_quality_sample_is_bounded(spark, labelled):
     assert 45 <= seen[0] <= 50 and 1 <= seen[1] < 45  # some labels have no text
 
 
+def test_quality_sample_travels_packed(spark, labelled, monkeypatch):
+    docs, labels, truth = labelled
+    seen = []
+    real, descend = type(docs).toArrow, quality.sgd
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: seen.append(real(df)) or seen[-1])
+    monkeypatch.setattr(quality, "sgd", lambda rows, *more: seen.append(rows) or descend(rows, *more))
+    quality.fit(docs, labels)
+    table, rows = seen
+    by_hash = docs.where(F.col("doc_id").isin(table["__id"].to_pylist())).orderBy(F.col("doc_id").cast("string"), F.xxhash64("text")).toArrow()
+    want = quality.features(by_hash["text"])
+    assert len(rows) == len(want) == table.num_rows > 250
+    key = lambda x: (x[0].tolist(), x[1].tolist())
+    assert sorted(map(key, (rows[i] for i in range(len(rows))))) == sorted(map(key, want))
+    # eight bytes a gram, as arrays of ids and shares, took the driver of the pipeline over its memory
+    assert table.nbytes < 5 * sum(len(ids) for ids, _ in want)
+
+
+def test_packed_features_are_the_features():
+    rng = random.Random(8)
+    texts = pa.array(["", None, "a", "ab cd ab", "xyz " * 300, "und " * 70_000, clean(rng, 500), " ".join(f"w{rng.randint(0, 10**9)}é" for _ in range(5000))])
+    packed = quality.Packed([quality.pack(ids, n) for ids, n in quality.counted(texts)])
+    assert len(packed) == len(texts)
+    for i, (ids, part) in enumerate(quality.features(texts)):
+        got_ids, got_part = packed[i]
+        assert got_ids.dtype == ids.dtype and got_part.dtype == part.dtype
+        assert np.array_equal(got_ids, ids) and np.array_equal(got_part, part)
+
+
 def test_quality_without_labels(spark, labelled):
     docs, labels, _ = labelled
     for rows, want in ((labels.limit(0), 0.5), (labels.where("quality = 1"), 1.0)):
