@@ -271,7 +271,7 @@ def flanking(contigs: DataFrame, size: int = 1) -> Step:
 
         snv = vcf.records.where(V.is_snv(F.col("ref"), F.col("alts")))
         at = snv.select("chrom", (F.col("pos") - 1 - size).alias("start"), (F.col("pos") + size).alias("end"), F.col("rec_idx").cast("string").alias("name"), F.lit("+").alias("strand"))
-        around = to_fasta(at.where("start >= 0"), contigs, stranded=False).select(F.substring_index("name", "|", 1).cast("long").alias("idx"), F.col("seq").alias("hit"))
+        around = to_fasta(at.where("start >= 0"), contigs, stranded=False, ordered=False).select(F.substring_index("name", "|", 1).cast("long").alias("idx"), F.col("seq").alias("hit"))
         entries = {"CG_FLANKING": F.col("hit"), "CG_FLANKING_SUB": F.when(F.col("hit").isNotNull(), S.flanking(F.col("hit"), F.col("ref"), _first_alt()))}
         kinds = {"CG_FLANKING": ("1", "String", "Bases around the variant"), "CG_FLANKING_SUB": ("1", "String", "Substitution in its context")}
         return _joined(vcf, around.where(F.length("hit") == 2 * size + 1), lambda x: add_info(x, entries, kinds))
