@@ -5,8 +5,9 @@ import random
 
 import pytest
 
+from genoloom.operators import genotypes
 from genoloom.plans import from_files
-from genoloom.sources import files
+from genoloom.sources import files, store, vcf
 
 
 @pytest.fixture
@@ -49,3 +50,21 @@ def test_tables_of_lines_and_blocked_files(spark, tmp_path, monkeypatch):
     assert sorted(x.name for x in tmp_path.iterdir()) == ["a.txt", "a.txt.gz", "blocked"]
     blocks = files.blocks(f"{tmp_path}/a.txt.gz")
     assert sum(b[2] for b in blocks) == len(data) and len(blocks) > 20 and files.blocks(f"{tmp_path}/a.txt") is None
+
+
+def test_samples_without_values_are_counted_unread(spark, tables, tmp_path):
+    """Sites hold what samples without a value leave, and sites and records without any are there."""
+    assert store._squeezed([b"c\t1\t.\tA\tC\t.\t.\t.\tGT:DP\t./.:.\t0/1:7\t.\t./.\t\t./.:3\t.|.:.", b"c\t2\t.\tA\tC\t.\t.\t.\tGT\t./.\t.", b"#x\t1"]) == [b"c\t1\t.\tA\tC\t.\t.\t.\tGT:DP\t1:0/1:7\t5:./.:3", b"c\t2\t.\tA\tC\t.\t.\t.\tGT", b"#x\t1"]
+    d = tables(range(1, 41), range(1, 8), [(p, s) for p in range(1, 31) for s in range(1, 8) if (p + s) % 3])
+    path = f"{tmp_path}/g.vcf.gz"
+    vcf.write(from_files._geno(spark, d), path, ordered=False)
+    v = vcf.read(spark, path)
+    assert {len(r["samples"]) for r in v.records.select("samples").collect()} == {7} and v.records.count() == 40
+    plain, told = (store.genotypes_of(x) for x in (v, store.with_values(spark, path)))
+    key = lambda g: sorted((r["chrom"], r["pos"], r["sample_id"], r["sample_idx"], r["gt"], r["dp"]) for r in g.collect())
+    assert key(plain.where("gt <> './.' or dp is not null")) == key(told) and told.count() < plain.count()
+    store.write(spark, [path], f"{tmp_path}/s")
+    want = genotypes.site_counts(genotypes.split_alleles(plain)).select("chrom", "pos", "ac", "an", "n_carriers", "n_called", "n_lowdp")
+    sites = store.open(spark, f"{tmp_path}/s").sites
+    assert sorted(map(tuple, sites.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert max(r["n_lowdp"] for r in sites.collect()) == 7
