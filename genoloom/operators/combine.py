@@ -66,11 +66,17 @@ def check_sorted(records: DataFrame, span: int = RANGE) -> None:
 
 def concat(parts: list[DataFrame], contigs: list[str]) -> DataFrame:
     """Records of all parts in the order of contigs and positions; equal positions in two parts are an error."""
-    known = F.array(*[F.lit(c) for c in contigs])
     every = None
     for n, df in enumerate(parts):
-        one = df.withColumns({"part": F.lit(n), "contig_idx": F.array_position(known, F.col("chrom")) - 1})
+        one = df.withColumn("part", F.lit(n))
         every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    return in_order(every, contigs)
+
+
+def in_order(every: DataFrame, contigs: list[str]) -> DataFrame:
+    """Records of all parts (``part``) in the order of contigs and positions; equal positions in two parts are an error."""
+    known = F.array(*[F.lit(c) for c in contigs])
+    every = every.withColumn("contig_idx", F.array_position(known, F.col("chrom")) - 1)
     unknown = every.where("contig_idx < 0").select("chrom").limit(1).collect()
     if unknown:
         raise ValueError(f"contig {unknown[0]['chrom']} is not in the header")

@@ -68,3 +68,27 @@ def test_samples_without_values_are_counted_unread(spark, tables, tmp_path):
     sites = store.open(spark, f"{tmp_path}/s").sites
     assert sorted(map(tuple, sites.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert max(r["n_lowdp"] for r in sites.collect()) == 7
+
+
+def test_series_is_written_and_read_in_one_pass(spark, tables):
+    d = tables(range(1, 1801))
+    got = from_files.vcf_series(spark, d)
+    assert got.inputFiles() and len(got.inputFiles()) == 3
+    rows = [tuple(r) for r in got.collect()]
+    assert [r[2] for r in rows] == [n // 700 for n in range(1800)] and rows == sorted(rows)
+    # the plan has one scan, however many files there are
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_states_shuffle_what_is_known_alone(spark):
+    """Every locus meets every sample where the rows are made: no exchange holds them."""
+    loci = spark.createDataFrame([("c", 10 * n, "A", "C") for n in range(1, 41)], "chrom string, pos int, ref string, alt string")
+    roster = spark.createDataFrame([(f"S{n}",) for n in range(50)], "sample_id string")
+    spans = spark.createDataFrame([("c", 10, 30, "S1"), ("c", 20, 20, "S2"), ("c", 10, 400, "gone")], "chrom string, start_pos int, end_pos int, sample_id string")
+    calls = spark.createDataFrame([("c", 20, "A", "C", "S1", "0/1", 30, None, None), ("c", 30, "A", "C", "S3", "0/1", 3, None, None)], "chrom string, pos int, ref string, alt string, sample_id string, gt string, dp int, ad_ref int, ad_alt int")
+    got = genotypes.classify(loci, roster, loci.where("pos <> 10"), spans, calls, genotypes.Gate(min_dp=20))
+    states = {(r["pos"], r["sample_id"]): r["state"] for r in got.collect()}
+    assert len(states) == got.count() == 2000
+    assert {k: v for k, v in states.items() if v != "not_assayed"} == {(20, "S1"): "carrier", (20, "S2"): "non_carrier", (30, "S1"): "non_carrier", (30, "S3"): "below_gate"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")]
